@@ -1,6 +1,7 @@
 """Toxicity (op 7): maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-Tokens are runs of letters, lower-cased. A token's score is its log-odds in toxic against clean
+Tokens are runs of letters, lower-cased, and word beginnings of a few lengths; a word counts as the
+most telling of its tokens that was kept. A token's score is its log-odds in toxic against clean
 texts under a Dirichlet prior that follows the corpus's own frequencies. One linear scan finds all
 maximal segments of a text, with an expected number K * m * exp(-lambda * S) of segments that reach
 S by chance in m tokens; the significant ones add up, and a logistic curve turns the sum into a
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}+"
 #: At most so many labelled documents are learnt from (the smallest by hash), and so many tokens kept.
 TRAIN_ROWS, TOKENS = 50_000, 65_536
-PRIOR, LEAST_Z, LEAST_ODDS, BACKGROUND = 200.0, 2.5, math.log(4), 0.7
+PRIOR, LEAST_Z, LEAST_ODDS, BACKGROUND = 200.0, 4.0, math.log(4), 0.7
+BEGINNINGS, MEMO_ENTRIES = range(4, 9), 500_000
 
 
 @dataclass(frozen=True)
@@ -65,11 +67,39 @@ def segments(scores: Iterator[tuple[int, float]], background: float) -> list[tup
 _WORD = regex.compile(WORD)
 
 
+class _WordOdds(dict):
+    """Remembers each word's odds (0: none), starting afresh at MEMO_ENTRIES words."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        tokens = [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
+        self[word] = best = max(self.odds.get(t, 0.0) for t in tokens)
+        return best
+
+
+def _word_odds(model: Model) -> _WordOdds:
+    if "known" not in model.__dict__:
+        object.__setattr__(model, "known", _WordOdds(model.odds))
+    return model.__dict__["known"]
+
+
+def tokens_of(text: Column) -> Column:
+    """The distinct tokens of a text: its words, and the beginnings of longer words."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    begun = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]
+    return F.array_distinct(F.concat(words, *begun))
+
+
 def significance(text: str, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """The sum of segment significances of a whole text, and the segments by token position."""
     words = _WORD.findall(text.lower())
-    odds = model.odds
-    found = segments(((i, odds[w]) for i, w in enumerate(words) if w in odds), BACKGROUND)
+    known = _word_odds(model)
+    found = segments(((i, o) for i, w in enumerate(words) if (o := known[w])), BACKGROUND)
     if not found:
         return -math.log1p(model.start * len(words)), found
     cost = math.log1p(model.start * len(words))
@@ -106,20 +136,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")  # at most `rows` labels
     train = train.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").where("text is not null")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    counts = chosen.select("toxic", F.explode(words).alias("w")).groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.count("*").alias("n"))
+    counts = chosen.select("toxic", F.explode(tokens_of(F.col("text"))).alias("w")).groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.count("*").alias("n"))
     total = counts.agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     alpha = F.lit(PRIOR) * F.col("n") / F.col("tn")
     a, b = F.col("a") + alpha, F.col("n") - F.col("a") + alpha
     A, B = F.col("ta") + PRIOR, F.col("tn") - F.col("ta") + PRIOR
     delta = F.log(a / (A - a)) - F.log(b / (B - b))
+    expected = F.col("n") * F.col("ta") / F.col("tn")
     t = total.first()
     if not t["a"] or t["a"] == t["n"]:
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         share = min(1 - 1e-6, max(1e-6, share))
         return Model({}, 1.0, 1.0, 0.0, math.log(share / (1 - share)))
     scored = counts.withColumn("ta", F.lit(t["a"])).withColumn("tn", F.lit(t["n"]))
-    scored = scored.select("w", delta.alias("odds"), (delta / F.sqrt(1 / a + 1 / b)).alias("z"), ((F.col("n") - F.col("a")) / (F.col("tn") - F.col("ta"))).alias("p"))
+    scored = scored.select("w", delta.alias("odds"), ((F.col("a") - expected) / F.sqrt(expected)).alias("z"), ((F.col("n") - F.col("a")) / (F.col("tn") - F.col("ta"))).alias("p"))
     kept = scored.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "w").limit(TOKENS).collect()
     if not kept:
         return Model({}, 1.0, 1.0, 0.0, math.log(max(1e-6, t["a"] / t["n"])))
