@@ -39,7 +39,8 @@ def scan(docs: DataFrame, known: dict[str, str] | DataFrame | None = None) -> Da
     """
     spark = docs.sparkSession
     if not isinstance(known, DataFrame):
-        known = spark.createDataFrame(list((known or KNOWN).items()), "license_id string, text string")
+        pairs = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in (known or KNOWN).items()]
+        known = spark.range(1).select(F.inline(F.array(*pairs)))
     table = known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id", canonical(F.col("text")).alias("c"))
     table = table.where("c <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     return docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left").select("doc_id", "digest", "license_id")

@@ -33,7 +33,8 @@ def op3_decontamination(spark, sf_dir):
 
 def op4_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(chat.PLANTED).alias("text"))
     return chat.digests(rows.unionByName(planted))
 
 
