@@ -95,7 +95,7 @@ class Index:
         ids, starts = np.array(joined + gap, np.int64), np.array(starts, np.int64)
         at = np.concatenate([np.arange(s, s + max(1, len(d)), STRIDE) for s, d in zip(starts, docs, strict=True)])
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        # A window that shares fewer symbols than are sampled has no key in common with an item's.
+        # Not exact: a window with fewer known words rarely, but possibly, shares a key with an item's.
         at = at[known[at + WINDOW] - known[at] >= 3]
         if not len(at):
             return
