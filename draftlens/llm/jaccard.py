@@ -128,7 +128,7 @@ def _verifier(percent: int):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["src", "dst"]]
 
     return work
 
@@ -155,14 +155,18 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = cut(chosen.mapInPandas(_sets, "name long, s binary").dropDuplicates(["name"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return both.mapInPandas(_verifier(percent), "a long, b long")
+        """The components (src, dst) that the links among the pairs (a, b) join."""
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("src", "dst", "sa", "sb")
+        return cut(both.mapInPandas(_verifier(percent), "src long, dst long").distinct())
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        parts = connected_components(links).toDF("component", "into")
+        return cut(labels.join(parts, "component", "left").select("name", F.coalesce("into", "component").alias("component")))
 
     def near(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
     labels = involved.withColumn("component", F.col("name"))
-    links = None
     for turn in range(STAR_ROUNDS):
         at = common.join(labels, "name")
         hub = at.groupBy("token").agg(
@@ -170,23 +174,20 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
             F.min("component").alias("lo"), F.max("component").alias("hi"),
         ).where("lo <> hi").select("token", "h")
         star = at.join(hub, "token").where("component <> h.component and " + near("n", "h.n"))
-        star = star.groupBy("name", F.col("h.name").alias("hub")).count()
-        star = star.groupBy("name").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-        new = cut(verified(star.select(F.col("name").alias("a"), F.col("hub").alias("b"))))
+        star = star.groupBy("name", "component", F.struct("h.name", "h.component").alias("hub")).count()
+        star = star.groupBy("name", "component").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+        new = verified(star.select(F.col("name").alias("a"), F.col("hub.name").alias("b"), F.col("component").alias("src"), F.col("hub.component").alias("dst")))
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        parts = connected_components(links.toDF("src", "dst"))
-        labels = cut(involved.join(parts.withColumnRenamed("id", "name"), "name", "left").select("name", F.coalesce("component", "name").alias("component")))
+        labels = merged(labels, new)
     at = common.join(labels, "name")
     mixed = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     at = cut(at.join(mixed, "token"))
     x, y = at.alias("x"), at.alias("y")
     rest = x.join(y, "token").where("x.component <> y.component and x.name < y.name and " + near("x.n", "y.n"))
-    rest = rest.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("a", "b")
-    last = cut(verified(rest))
-    links = last if links is None else links.unionByName(last)
-    parts = connected_components(links.toDF("src", "dst")).withColumnRenamed("id", "name")
+    rest = rest.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
+    rest = rest.agg(F.count("*").alias("c"), F.first(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("a", "b", "src", "dst")
+    parts = merged(labels, verified(rest))
     classes = profile.groupBy("name").agg(F.min("doc_id").alias("least")).join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "component").select("name", "component_id")
