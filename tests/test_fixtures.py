@@ -1,11 +1,13 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
+import os
+
 import duckdb
 import pytest
 
-from draftlens.plans import fixtures
+from draftlens.plans import drawings, fixtures  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
