@@ -1,52 +1,5 @@
-"""Pieces several operators share: the shared scratch folder and connected components."""
+"""Pieces several operators share, as the library's graph operators have them."""
 
-from __future__ import annotations
+from draftlens.operators.graph import connected_components, cut, scratch_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.gettempdir() + "/draftlens-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that later steps don't recompute it."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Label each endpoint of `edges` (src, dst) with the smallest id it can reach: columns id, component.
-
-    Alternating large-star and small-star rounds; each round is written to the shared folder.
-    Null ends and self loops are ignored; an empty edge table gives an empty result.
-    Raises when `max_rounds` doesn't suffice rather than returning a partial labelling.
-    """
-    pairs = edges.where("src is not null and dst is not null and src <> dst")
-    pairs = cut(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    for _ in range(max_rounds):
-        both = pairs.union(pairs.select("dst", "src"))
-        low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
-        low = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
-        pairs = cut(small.where("src <> dst").distinct())
-        # Settled once all are stars: an end that is a src has one partner and is nobody's dst.
-        ends = pairs.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(pairs.select("dst", F.lit(0), F.lit(1)))
-        if ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty():
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = pairs.select("dst").distinct()
-    return pairs.toDF("id", "component").unionByName(roots.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
+__all__ = ["connected_components", "cut", "scratch_dir"]
