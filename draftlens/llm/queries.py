@@ -32,10 +32,9 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_chat_format(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(chat.PLANTED).alias("text"))
-    return chat.digests(rows.unionByName(planted))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("record"))
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(chat.PLANTED_RECORD).alias("record"))
+    return chat.digests(chat.canonical_turns(rows, "conv_id", "record").unionByName(chat.canonical_turns(planted, "conv_id", "record")))
 
 
 def op5_nearest_neighbours(spark, sf_dir):

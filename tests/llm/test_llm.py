@@ -109,6 +109,17 @@ def test_chat_round_trip_and_layouts(spark):
     assert by[5] == by[6] == [(None, None)]
 
 
+def test_chat_query_selects_mappings_by_fingerprint(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 3, "human", "a"), (2, None, None, "[{}]")], "k long, turn long, role string, text string")
+    got = chat.canonical_turns(rows.select("k", F.struct("turn", "role", "text").alias("record")), "k", "record").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "turn_rows", 3, "human", "a"), (2, "turn_rows", None, None, "[{}]")]
+    other = chat.canonical_turns(rows.select("k", F.struct("turn", "role").alias("record")), "k", "record").collect()
+    assert {tuple(r)[1:] for r in other} == {(None, None, None, None)}
+    whole = queries.op4_chat_format(spark, "/root/testdata/sf0.001").agg(F.sum("loss_chars")).first()[0]
+    monkeypatch.setattr(chat, "LAYOUTS", [])
+    assert whole > 0 and queries.op4_chat_format(spark, "/root/testdata/sf0.001").agg(F.sum("loss_chars")).first()[0] == 0
+
+
 def test_neighbours_recall(spark):
     rows = [(r[0], np.array(r[1], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = defaultdict(list)
