@@ -4,52 +4,126 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges that one task may hold; a graph with more is contracted in rounds over all tasks.
+LOCAL_EDGES = 400_000
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one only in local mode where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.gettempdir() + "/draftlens-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that later steps don't recompute it."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it back, so that later steps don't recompute it.
+
+    The shuffle files behind it go once it is written; the folder goes with `drop`, or when the
+    driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what `cut` wrote for these tables; nothing may read them afterwards."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            at, files = _hadoop(table.sparkSession, path)
+            files.delete(at, True)
+
+
+def _forest(limit: int):
+    """Union-find over a task's edges: each node but its set's smallest, with that one. At `limit` nodes it starts afresh."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def out(schema):
+            low = [(x, find(x)) for x in list(root)]
+            low = [r for r in low if r[0] != r[1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in low], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            if len(root) > limit:
+                yield out(schema)
+                root.clear()
+        if root:
+            yield out(schema)
+
+    return work
+
+
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Label each endpoint of `edges` (src, dst) with the smallest id it can reach: columns id, component.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder.
-    Null ends and self loops are ignored; an empty edge table gives an empty result.
-    Raises when `max_rounds` doesn't suffice rather than returning a partial labelling.
+    Every task first replaces its edges by the stars of their sets. When at most `local_edges`
+    remain, one task finishes; else large-star and small-star rounds go on, each written to the
+    shared folder, until a round changes nothing. Null ends and self loops are ignored; repeated
+    edges count once; an empty edge table gives an empty result.
     """
-    pairs = edges.where("src is not null and dst is not null and src <> dst")
-    pairs = cut(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    for _ in range(max_rounds):
+    clean = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    pairs = cut(clean.mapInArrow(_forest(1 << 19), clean.schema))
+    seen = None
+    while True:
+        state = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
+        if state["n"] <= local_edges:
+            stars = cut(pairs.coalesce(1).mapInArrow(_forest(4 * local_edges), pairs.schema))
+            drop(pairs)
+            break
+        if tuple(state) == seen:
+            stars = pairs
+            break
+        seen, old = tuple(state), pairs
         both = pairs.union(pairs.select("dst", "src"))
         low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
         large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
-        low = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(low, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low)
         pairs = cut(small.where("src <> dst").distinct())
-        # Settled once all are stars: an end that is a src has one partner and is nobody's dst.
-        ends = pairs.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(pairs.select("dst", F.lit(0), F.lit(1)))
-        if ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty():
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = pairs.select("dst").distinct()
-    return pairs.toDF("id", "component").unionByName(roots.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
+        drop(old)
+    roots = stars.select("dst").distinct()
+    return stars.toDF("id", "component").unionByName(roots.select(F.col("dst").alias("id"), F.col("dst").alias("component")))
 
 
 def near_pairs(points: DataFrame, eps: float) -> DataFrame:
