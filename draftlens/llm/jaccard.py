@@ -2,60 +2,75 @@
 
 Words are runs without ASCII white space, A-Z lower-cased; a set holds 64-bit hashes of distinct
 5-word shingles. Equal sets are one node, named by the set's own hash. Shingles are ordered from
-rare to common by a fixed-size frequency sketch over all documents. A set of n shingles that must
-share t = ceil(0.8 n) with a partner looks at its first n - t + l shingles; two sets can only link
-if those prefixes share min(l, l') of them. l grows, set by set, while that lowers the estimated
-number of candidates.
+rare to common by a frequency sketch over all documents, of fixed size; the order decides the cost
+only, not the result. A partner of at least the same size shares at least t = ceil(160 n / 180)
+shingles with a set of n (at 80 %), one of at most that size ceil(0.8 n). So a set is found by its
+first n - t + l shingles and looks with its first n - ceil(0.8 n) + l; two sets can only link if
+those share min(l, l') of them. l grows, set by set, while that lowers the estimated cost.
 
 Candidates are verified exactly. First each set meets one likely partner at a time, which joins
 groups of near copies with work linear in their size; then every candidate pair whose ends aren't
 yet connected is verified, so no link between components is lost and no group is expanded.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat a
-doc_id with different texts each count; the result has a row per input row.
+doc_id with different texts each count; the result has a row per input row. A row with a null
+doc_id takes part in links; a component of such rows alone has a null component_id. Only doc_id
+and text are read, so further columns can't clash. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from draftlens.llm.shared import connected_components, cut
+from draftlens.llm.shared import connected_components, cut, drop
 
-BUCKETS, MAX_MATCH, STAR_ROUNDS, MEMO_ENTRIES = 1 << 16, 4, 3, 1_000_000
+BITS, BLOCK, MAX_MATCH, STAR_ROUNDS, MEMO_ENTRIES = 20, 4096, 4, 3, 1_000_000
+#: A token with more rows than this is split over several tasks when pairs are formed.
+SPLIT = 1000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     def __init__(self, width: int = 5):
-        self.width, self.memo = width, {}
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingle hashes of a whole text, as int64."""
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.empty(0, np.int64)
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        try:
-            h = np.array([memo[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([memo[w] for w in words], np.uint64)
-        k = min(self.width, len(h))
+        self.width, self.memo = width, _WordHashes()
+
+    def _mixed(self, h: np.ndarray, k: int) -> np.ndarray:
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             out = (out ^ (out >> np.uint64(29))) * _FACTORS[i] + h[i : len(h) - k + 1 + i]
         out = (out ^ (out >> np.uint64(32))) * _FACTORS[0]
-        return np.unique((out ^ (out >> np.uint64(29))).view(np.int64))
+        return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted distinct shingle hashes of each whole text, as int64."""
+        words = [(t or "").encode().lower().split() for t in texts]
+        h = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+        rolled = self._mixed(h, self.width) if len(h) >= self.width else h.view(np.int64)
+        out, at = [], 0
+        for w in words:
+            n = len(w)
+            if n >= self.width:
+                out.append(np.unique(rolled[at : at + n - self.width + 1]))
+            else:
+                out.append(self._mixed(h[at : at + n], n) if n else np.empty(0, np.int64))
+            at += n
+        return out
 
 
 def name_of(shingles: np.ndarray) -> int:
@@ -63,72 +78,115 @@ def name_of(shingles: np.ndarray) -> int:
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+    return (shingles.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _parts(texts: pa.Array, rows: int = 1000) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), rows):
+        yield texts[at : at + rows].to_pylist()
+
+
+PROFILE = "doc_id long, h long, n long, name long, block int, counts binary"
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per document (kind 0) and, per task, the sketch's counts (kind 1)."""
-    shingler, sketch = Shingler(), np.zeros(BUCKETS, np.int64)
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and, per task, the sketch's counts in blocks (block is not null)."""
+    shingler, sketch, schema = Shingler(), np.zeros(1 << BITS, np.uint32), None
     for batch in batches:
         n, names = [], []
-        for text in batch["text"]:
-            s = shingler.shingles(text)
-            n.append(len(s)), names.append(name_of(s))
-            np.add.at(sketch, _bucket(s), 1)
-        yield pd.DataFrame({"kind": 0, "id": batch["doc_id"], "n": n, "name": names})
-    at = np.flatnonzero(sketch)
-    yield pd.DataFrame({"kind": 1, "id": at, "n": sketch[at], "name": 0})
+        for texts in _parts(batch.column("text")):
+            sets = shingler.sets(texts)
+            n += map(len, sets)
+            names += map(name_of, sets)
+            sketch += np.bincount(_bucket(np.concatenate(sets)), minlength=1 << BITS).astype(np.uint32)
+        k = len(n)
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "h", "n", "name", "block", "counts"])
+        schema = out.schema
+        yield out
+    if schema is not None:
+        blocks = [(b, c) for b, c in enumerate(sketch.reshape(-1, BLOCK)) if c.any()]
+        k = len(blocks)
+        none = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([b for b, _ in blocks], pa.int32()), pa.array([c.tobytes() for _, c in blocks], pa.binary())], schema=schema)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[b] = total.get(b, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["block", "counts"])
+
+
+def sketch_of(rows: DataFrame) -> np.ndarray:
+    """The merged sketch: one number for each of 2^BITS hash ranges, 4 MB whatever the corpus."""
+    out = np.zeros(1 << BITS, np.uint32)
+    merged = rows.where("block is not null").select("block", "counts").repartition(32, "block").mapInArrow(_summed, "block int, counts binary")
+    for r in merged.toLocalIterator():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
+    return out - np.minimum(out, np.uint32(np.median(out)))
 
 
 def prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The adaptive prefix of a set and the number of matches it asks for."""
+    """The adaptive prefix of a set, rare shingles first, and the number of matches it asks for."""
     n = len(shingles)
     need = -(-percent * n // 100)
     freq = sketch[_bucket(shingles)]
-    order = np.lexsort((shingles, freq))
-    cost = np.cumsum(freq[order])
+    order = np.argsort(freq, kind="stable")[: n - need + MAX_MATCH]
+    cost = np.cumsum(freq[order], dtype=np.int64)
     # By Markov's inequality at most cost / l sets share l of the prefix's shingles.
-    choices = range(1, min(MAX_MATCH, need) + 1)
-    best = min(choices, key=lambda m: (cost[n - need + m - 1] + 2 * m) / m if cost[n - need] > 4 * n else m)
+    best = 1
+    if cost[n - need] > 4 * n:
+        best = min(range(1, min(MAX_MATCH, need) + 1), key=lambda m: (cost[n - need + m - 1] + 2 * m) / m)
     return shingles[order[: n - need + best]], best
 
 
+TOKENS = "token long, name long, n int, m byte, pos int, found boolean"
+
+
 def _prefixes(sketch, percent: int):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, counts = Shingler(), set(), sketch.value
         for batch in batches:
-            for part in range(0, len(batch), 1000):
+            for texts in _parts(batch.column("text")):
                 tokens, names, ns, matches = [np.empty(0, np.int64)], [], [], []
-                for text in batch["text"].iloc[part : part + 1000]:
-                    s = shingler.shingles(text)
+                for s in shingler.sets(texts):
                     if not len(s) or (name := name_of(s)) in seen:
                         continue
                     seen.add(name)
                     p, m = prefix(s, counts, percent)
                     tokens.append(p), names.append(name), ns.append(len(s)), matches.append(m)
-                size = [len(t) for t in tokens[1:]]
-                yield pd.DataFrame({"token": np.concatenate(tokens), "name": np.repeat(np.array(names, np.int64), size), "n": np.repeat(np.array(ns, np.int32), size), "m": np.repeat(np.array(matches, np.int8), size)})
+                size = np.array([len(t) for t in tokens[1:]], np.int64)
+                n, m = np.repeat(np.array(ns, np.int64), size), np.repeat(np.array(matches, np.int64), size)
+                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                found = pos < n - -(-2 * percent * n // (100 + percent)) + m
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(names, np.int64), size)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int8)), pa.array(pos.astype(np.int32)), pa.array(found)],
+                    ["token", "name", "n", "m", "pos", "found"],
+                )
 
     return work
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        for part in range(0, len(batch), 500):
-            sets = [shingler.shingles(t) for t in batch["text"].iloc[part : part + 500]]
-            yield pd.DataFrame({"name": [name_of(s) for s in sets], "s": [s.tobytes() for s in sets]})
+        for texts in _parts(batch.column("text"), 500):
+            sets = shingler.sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "s"])
 
 
 def _verifier(percent: int):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["src", "dst"]]
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return work
 
@@ -136,60 +194,81 @@ def _verifier(percent: int):
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    rows = cut(texts.mapInPandas(_profile, "kind int, id long, n long, name long"))
-    profile = rows.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "name")
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        counts[r["id"]] = r["n"]
-    counts -= counts.min()
-    sketch = spark.sparkContext.broadcast(counts)
-    tokens = cut(texts.mapInPandas(_prefixes(sketch, percent), "token long, name long, n int, m byte"))
-    shared = tokens.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("token")
-    common = cut(tokens.join(shared, "token").dropDuplicates(["token", "name"]))
-
-    involved = common.select("name").distinct()
-    owner = profile.join(involved, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    # A repeated doc_id may come with other texts: sets are named by what they hold, not by doc_id.
-    chosen = texts.join(owner.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = cut(chosen.mapInPandas(_sets, "name long, s binary").dropDuplicates(["name"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(texts.withColumn("h", F.xxhash64("text")).mapInArrow(_profile, PROFILE))
+    profile = rows.where("block is null").select("doc_id", F.col("n").alias("n_shingles"), "name", "h")
+    sketch = spark.sparkContext.broadcast(sketch_of(rows))
+
+    # Tokens of two sets or more, one of which can be found by them; each set once per token.
+    tokens = texts.select("text").mapInArrow(_prefixes(sketch, percent), TOKENS)
+    by = Window.partitionBy("token")
+    once = tokens.withColumn("_before", F.lag("name").over(by.orderBy("name"))).where("_before is null or _before <> name").drop("_before")
+    shared = once.withColumn("_sets", F.count("*").over(by)).withColumn("_any", F.max("found").over(by))
+    common = cut(shared.where("_sets > 1 and _any").drop("_sets", "_any"))
+
+    names = common.select("name").distinct()
+    # One text of each set that has a shared token, by its hash: equal texts have equal sets.
+    chosen = cut(profile.join(names, "name", "left_semi").groupBy("name").agg(F.min("h").alias("h")))
+    wanted = texts.select("text", F.xxhash64("text").alias("h")).join(chosen.select("h"), "h", "left_semi").select("text")
+    sets = cut(wanted.mapInArrow(_sets, "name long, s binary").groupBy("name").agg(F.first("s").alias("s")))
+    drop_later = [common, chosen, sets]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The components (src, dst) that the links among the pairs (a, b) join."""
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("src", "dst", "sa", "sb")
-        return cut(both.mapInPandas(_verifier(percent), "src long, dst long").distinct())
-
-    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-        parts = connected_components(links).toDF("component", "into")
-        return cut(labels.join(parts, "component", "left").select("name", F.coalesce("into", "component").alias("component")))
+        return cut(both.mapInArrow(_verifier(percent), "src long, dst long").distinct())
+
+    def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Names in new components; names that have none yet are their own."""
+        parts = connected_components(links)
+        if labels is None:
+            return cut(parts.toDF("name", "component"))
+        moved = labels.join(parts.toDF("component", "into"), "component", "left").select("name", F.coalesce("into", "component").alias("component"))
+        fresh = parts.toDF("name", "component").join(labels, "name", "left_anti")
+        return cut(moved.unionByName(fresh.select("name", "component")))
+
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return common.withColumn("component", F.col("name"))
+        return common.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
 
     def near(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
-    labels = involved.withColumn("component", F.col("name"))
+    labels = None
     for turn in range(STAR_ROUNDS):
-        at = common.join(labels, "name")
-        hub = at.groupBy("token").agg(
-            F.min_by(F.struct("name", "n", "component"), F.xxhash64("name", F.lit(turn))).alias("h"),
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-        ).where("lo <> hi").select("token", "h")
-        star = at.join(hub, "token").where("component <> h.component and " + near("n", "h.n"))
-        star = star.groupBy("name", "component", F.struct("h.name", "h.component").alias("hub")).count()
+        first = F.first(F.struct("name", "n", "component")).over(by.orderBy(F.xxhash64("name", F.lit(turn)), "name"))
+        star = labelled(labels).withColumn("hub", first).where("component <> hub.component and " + near("n", "hub.n"))
+        star = star.groupBy("name", "component", F.struct("hub.name", "hub.component").alias("hub")).count()
         star = star.groupBy("name", "component").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
         new = verified(star.select(F.col("name").alias("a"), F.col("hub.name").alias("b"), F.col("component").alias("src"), F.col("hub.component").alias("dst")))
         if new.isEmpty():
+            drop(new)
             break
-        labels = merged(labels, new)
-    at = common.join(labels, "name")
-    mixed = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    at = cut(at.join(mixed, "token"))
-    x, y = at.alias("x"), at.alias("y")
-    rest = x.join(y, "token").where("x.component <> y.component and x.name < y.name and " + near("x.n", "y.n"))
-    rest = rest.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
-    rest = rest.agg(F.count("*").alias("c"), F.first(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("a", "b", "src", "dst")
-    parts = merged(labels, verified(rest))
-    classes = profile.groupBy("name").agg(F.min("doc_id").alias("least")).join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "component").select("name", "component_id")
-    out = profile.join(named, "name")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        old, labels = labels, merged(labels, new)
+        drop(new, *([old] if old is not None else []))
+
+    # Every pair of sets in different components that shares enough of the shingles both could meet by.
+    at = labelled(labels).withColumn("_lo", F.min("component").over(by)).withColumn("_hi", F.max("component").over(by)).withColumn("_rows", F.count("*").over(by))
+    at = cut(at.where("_lo <> _hi").drop("_lo", "_hi"))
+    parts = F.ceil(F.col("_rows") / SPLIT)
+    x = at.where("found").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("x")
+    y = at.withColumn("part", F.pmod(F.xxhash64("name"), parts)).alias("y")
+    least = f"ceil({percent} * (x.n + y.n) / {100 + percent})"  # what the pair has to share
+    m = "least(x.m, y.m)"
+    meet = f"""x.token = y.token and x.part = y.part and x.component <> y.component and (x.n < y.n or x.n = y.n and x.name < y.name) and 100 * x.n >= {percent} * y.n
+        and x.pos <= x.n - {least} + {m} - 1 and y.pos <= y.n - {least} + {m} - 1 and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {least}"""
+    rest = x.join(y, F.expr(meet)).groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
+    rest = rest.agg(F.count("*").alias("c"), F.first(F.expr(m)).alias("m")).where("c >= m").select("a", "b", "src", "dst")
+    new = verified(rest)
+    old, labels = labels, merged(labels, new)
+    drop(new, at, *drop_later, *([old] if old is not None else []))
+
+    # A name's smallest doc_id, then its component's, for the sets that have links.
+    least_id = profile.groupBy("name").agg(F.min("doc_id").alias("least"))
+    linked = least_id.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(linked.join(smallest, "component").select("name", "component_id"))
+    drop(labels)
+    out = profile.where("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
