@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DIAMETERS, UNREAD = "ø⌀∅Φφ", ["unrecognized_slot", "grouped_window_authority_read_failed"]
 # Reasons that keep a text from the output.
 BLOCKING = ["symbol_only", "long_minus_run", "invalid_tolerance_number"]
+# Patterns of the grammar's parts.
 QUANTITY = r"^([0-9]+)[*xX×]"
 CHAMFER = r"^[+-]?[0-9]{1,3}(\.[0-9]{1,3})?[*xX×][0-9]{1,3}(\.[0-9]{1,3})?°$"
 MAIN = r"^[+-]?[0-9]{1,3}(\.[0-9]{1,3})?°?$"

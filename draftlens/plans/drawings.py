@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from draftlens.functions import dimension_text, geometry
-from draftlens.operators import graph, mutation, ranking
+from draftlens.functions import dimension_text
+from draftlens.operators import drawing, graph, mutation, ranking
 from draftlens.plans.fixtures import query, table
 
 # The text of a made-up dimension, in SQL that both engines read alike.
@@ -72,23 +72,18 @@ def detections(spark, sf_dir):
  last AS (SELECT page, arg_max(kept, place) AS kept FROM s GROUP BY page)
  SELECT g.page AS page, id FROM g JOIN last ON g.page = last.page WHERE list_contains(kept, place)""")
 def nms_final(spark, sf_dir):
-    boxes = graph.cut(detections(spark, sf_dir))
-    from draftlens.operators.spatial import box_join
+    from draftlens.functions.segments import same_place
 
-    pairs = box_join(boxes, boxes).where("left_id <> right_id").select("left_id", "right_id")
-    w, l = boxes.alias("w"), boxes.alias("l")
-    iou, inside = geometry.overlap("w", "l")
-    met = pairs.join(w, F.col("left_id") == F.col("w.id")).join(l, F.col("right_id") == F.col("l.id"))
-    met = met.where(F.expr("w.score > l.score or w.score = l.score and w.id < l.id") & ((iou >= 0.3) | (inside >= 0.8)))
-    kept = ranking.survivors(boxes.select("id"), met.select(F.col("left_id").alias("winner"), F.col("right_id").alias("loser")))
-    return kept.join(boxes, "id").select("page", "id")
+    boxes = graph.cut(detections(spark, sf_dir).withColumn("down", -F.col("score")))
+    return ranking.dedupe_boxes(boxes, ["down"], same_place).select("page", "id")
 
 
-@query("""WITH c AS (SELECT ps.p_partkey AS key, s.s_suppkey AS candidate, (ps.p_partkey * 7 + s.s_suppkey * 31) % 50 AS score FROM part ps JOIN supplier s ON s.s_suppkey % 10 = ps.p_partkey % 10),
- r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w - score AS gap FROM c WINDOW w AS (PARTITION BY key ORDER BY score, candidate)) SELECT key, candidate, score, coalesce(gap < 5, false) AS ambiguous FROM r WHERE place = 1""")
+@query("""WITH c AS (SELECT l_orderkey AS key, l_linenumber AS candidate, min(CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE (l_partkey * 7 + l_suppkey * 31) % 50 / 2.0 END) AS score FROM lineitem GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER w AS place, abs(lead(score) OVER w - score) AS gap FROM c WHERE score IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY score, candidate)) SELECT key, candidate, score FROM r WHERE place = 1 AND NOT coalesce(gap < 5 AND gap / greatest(abs(score), 1) < 0.15, false)""")
 def topk_margin(spark, sf_dir):
-    parts, suppliers = table(spark, sf_dir, "part").selectExpr("p_partkey key", "p_partkey % 10 d"), table(spark, sf_dir, "supplier").selectExpr("s_suppkey candidate", "s_suppkey % 10 d")
-    return ranking.best_with_margin(parts.join(suppliers, "d").selectExpr("key", "candidate", "(key * 7 + candidate * 31) % 50 score"), "key", "score", "candidate", 5).select("key", "candidate", "score", "ambiguous")
+    score = F.when(F.col("l_partkey") % 11 != 0, (F.col("l_partkey") * 7 + F.col("l_suppkey") * 31) % 50 / 2.0)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("candidate")).agg(F.min(score).alias("score"))
+    return ranking.best_unless_ambiguous(rows, "key", "score", "candidate").select("key", "candidate", "score")
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, o_custkey % 64 AS page, o_orderkey % 3 <> 0 AS auto, 'old' AS version FROM orders), s AS (SELECT o_orderkey AS id, o_custkey % 64 AS page, true AS auto, 'new' AS version FROM orders WHERE o_orderkey % 5 = 0)
@@ -100,16 +95,73 @@ def partition_upsert(spark, sf_dir):
     return mutation.replace_pages(old, new, spark.range(0, 64, 4).toDF("page"), F.col("auto")).select("id", "page", "auto", "version")
 
 
-@query("""WITH m AS (SELECT lang, median(n_chars) AS mid FROM documents GROUP BY lang) SELECT doc_id, CASE WHEN n_chars > 1.5 * mid THEN 'L' WHEN n_chars < 0.8 * mid THEN 'S' ELSE 'M' END AS layer FROM documents d JOIN m ON d.lang = m.lang""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN NULL ELSE lang END AS k, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END AS size FROM documents), m AS (SELECT k, median(size) AS mid FROM d WHERE size > 0 GROUP BY k)
+ SELECT doc_id, CASE WHEN size > 1.5 * mid THEN 'L' WHEN size < 0.8 * mid THEN 'S' ELSE 'M' END AS layer FROM d LEFT JOIN m ON d.k IS NOT DISTINCT FROM m.k""")
 def font_layer(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    mid = docs.groupBy("lang").agg(F.percentile("n_chars", 0.5).alias("mid"))
-    return docs.join(mid, "lang").select("doc_id", F.when(F.col("n_chars") > 1.5 * F.col("mid"), "L").when(F.col("n_chars") < 0.8 * F.col("mid"), "S").otherwise("M").alias("layer"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.col("n_chars")).alias("size"))
+    return drawing.font_layers(docs, "size", ["lang"]).select("doc_id", "layer")
 
 
-@query("""WITH w AS (SELECT round_even(l_tax, 4) AS width, sum(l_quantity) AS total FROM lineitem GROUP BY 1), t AS (SELECT * FROM w ORDER BY total DESC, width LIMIT 2)
+@query("""WITH w AS (SELECT round_even(l_tax, 4) AS width, sum(l_quantity) AS total FROM lineitem WHERE l_tax > 0.01 GROUP BY 1), t AS (SELECT * FROM w ORDER BY total DESC, width LIMIT 2)
  SELECT CASE count(*) WHEN 0 THEN 0.5 WHEN 1 THEN max(width) * 1.5 ELSE avg(width) END AS threshold FROM t""")
 def width_threshold(spark, sf_dir):
-    widths = table(spark, sf_dir, "lineitem").groupBy(F.bround("l_tax", 4).alias("width")).agg(F.sum("l_quantity").alias("total"))
-    top = widths.orderBy(F.desc("total"), "width").limit(2)
-    return top.agg(F.when(F.count("*") == 0, 0.5).when(F.count("*") == 1, F.max("width") * 1.5).otherwise(F.avg("width")).alias("threshold"))
+    return drawing.width_threshold(table(spark, sf_dir, "lineitem"), F.col("l_tax"), F.col("l_quantity"))
+
+
+@query("""SELECT kind, count(*) AS n, min(label) AS first_label FROM (SELECT CASE WHEN regexp_full_match(label, '[0-9]+(-.*)?') THEN 0 ELSE 1 END AS kind, label FROM (SELECT CASE p_size % 4 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN concat(CAST(p_partkey AS STRING), '-', CAST(p_size AS STRING)) WHEN 2 THEN concat(CAST(p_partkey AS STRING), '-x') ELSE concat('A', CAST(p_partkey AS STRING)) END AS label FROM part)) GROUP BY 1""")
+def label_kinds(spark, sf_dir):
+    label = F.expr("CASE p_size % 4 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN concat(CAST(p_partkey AS STRING), '-', CAST(p_size AS STRING)) WHEN 2 THEN concat(CAST(p_partkey AS STRING), '-x') ELSE concat('A', CAST(p_partkey AS STRING)) END")
+    return table(spark, sf_dir, "part").select(drawing.label_order(label).alias("o")).groupBy("o.kind").agg(F.count("*").alias("n"), F.min("o.label").alias("first_label"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_brand, CASE p_size % 3 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN concat(CAST(p_partkey // 7 AS STRING), '-', CAST(p_size AS STRING)) ELSE concat('A', CAST(p_partkey AS STRING)) END AS label FROM part)
+ SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN starts_with(label, 'A') THEN 1 ELSE 0 END, TRY_CAST(regexp_extract(label, '^[0-9]+') AS BIGINT), CASE WHEN contains(label, '-') THEN CAST(string_split(label, '-')[2] AS BIGINT) ELSE 0 END, label) AS place FROM s""")
+def label_places(spark, sf_dir):
+    from pyspark.sql import Window
+
+    label = F.expr("CASE p_size % 3 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN concat(CAST(p_partkey div 7 AS STRING), '-', CAST(p_size AS STRING)) ELSE concat('A', CAST(p_partkey AS STRING)) END")
+    rows = table(spark, sf_dir, "part").withColumn("o", drawing.label_order(label))
+    return rows.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("o")).alias("place"))
+
+
+@query("""SELECT l_suppkey, list_sort(list(l_quantity))[1 + CAST(round_even((count(*) - 1) * 0.25, 0) AS BIGINT)] AS low, list_sort(list(l_quantity))[1 + CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT)] AS high FROM lineitem GROUP BY 1""")
+def nearest_ranks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("v"))
+    return rows.select("l_suppkey", drawing.nearest_rank(F.col("v"), 0.25).alias("low"), drawing.nearest_rank(F.col("v"), 0.9).alias("high"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderkey, o_custkey) AS BIGINT) AS number FROM (SELECT o_orderpriority, o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY 1, 2)")
+def running_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderkey").agg(F.min("o_custkey").alias("o_custkey"))
+    return drawing.running_number(rows, "o_orderpriority", ["o_orderkey", "o_custkey"]).select("o_orderkey", "number")
+
+
+_REGIONS = """WITH p AS (SELECT min(o_custkey) % 64 AS page, o_orderkey AS id, (o_orderkey * 37 % 1000)::DOUBLE AS x0, (o_orderkey * 91 % 700)::DOUBLE AS y0 FROM orders GROUP BY o_orderkey), r AS (SELECT page, id, x0, y0, x0 + 60 AS x1, y0 + 40 AS y1 FROM p WHERE id % 5 = 0), v AS (SELECT page, x0 - 10 AS x0, y0 - 10 AS y0, x0 + 45 AS x1, y0 + 60 AS y1 FROM p WHERE id % 7 = 1), c AS (SELECT page, x0, y0, x0 + 9 AS x1, y0 + 9 AS y1 FROM p) """
+
+
+@query(_REGIONS + """, s AS (SELECT r.page, r.id, max(greatest(0, least(r.x1, v.x1) - greatest(r.x0, v.x0)) * greatest(0, least(r.y1, v.y1) - greatest(r.y0, v.y0)) / 2400) AS share FROM r JOIN v ON r.page = v.page GROUP BY 1, 2),
+ n AS (SELECT r.page, r.id, count(*) AS n FROM r JOIN c ON r.page = c.page AND (c.x0 + c.x1) / 2 BETWEEN r.x0 AND r.x1 AND (c.y0 + c.y1) / 2 BETWEEN r.y0 AND r.y1 GROUP BY 1, 2)
+ SELECT r.page AS page, r.id AS id FROM r LEFT JOIN s ON r.id = s.id AND r.page = s.page LEFT JOIN n ON r.id = n.id AND r.page = n.page WHERE coalesce(share, 0) < 0.5 OR coalesce(n, 0) >= 2""")
+def table_regions_kept(spark, sf_dir):
+    p = points(spark, sf_dir)
+    regions = p.where("id % 5 = 0").selectExpr("page", "id", "x x0", "y y0", "x + 60 x1", "y + 40 y1")
+    views = p.where("id % 7 = 1").selectExpr("page", "x - 10 x0", "y - 10 y0", "x + 45 x1", "y + 60 y1")
+    cells = p.selectExpr("page", "x x0", "y y0", "x + 9 x1", "y + 9 y1")
+    return drawing.table_regions_outside_views(regions, views, cells, least_cells=2).select("page", "id")
+
+
+_SHORT = """SELECT page, id, x, y, CASE id % 4 WHEN 0 THEN concat(CAST(id % 90 AS STRING)) WHEN 1 THEN concat('R', CAST(id % 60 AS STRING)) WHEN 2 THEN concat('R', CAST(id % 60 AS STRING), ' +0.', CAST(id % 90 AS STRING)) ELSE concat(CAST(id % 90 AS STRING), '±0.1') END AS text, id % 6 = 0 OR id % 6 = 1 AS toleranced FROM """
+
+
+@query("WITH q AS (SELECT min(o_custkey) % 64 AS page, o_orderkey AS id, (o_orderkey * 37 % 1000)::DOUBLE AS x, (o_orderkey * 91 % 700)::DOUBLE AS y FROM orders GROUP BY o_orderkey), t AS (SELECT *, replace(text, ' ', '') AS c FROM (" + _SHORT + """q))
+ SELECT a.page AS page, a.id AS id FROM t a WHERE NOT ((regexp_full_match(a.c, '[0-9]{1,3}') OR regexp_full_match(a.c, 'R[0-9]{1,2}') AND NOT a.toleranced) AND EXISTS (SELECT 1 FROM t b WHERE a.page = b.page AND length(b.c) > length(a.c) AND contains(b.c, a.c) AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 50))""")
+def fragments_dropped(spark, sf_dir):
+    points(spark, sf_dir).createOrReplaceTempView("_made_points")
+    return drawing.without_fragments(spark.sql(_SHORT + "_made_points")).select("page", "id")
+
+
+@query("SELECT l_orderkey % 4096 AS page, min((l_partkey * 37 % 1000)::DOUBLE) AS x0, max((l_partkey * 37 % 1000) + 4 + l_quantity % 20) AS x1 FROM lineitem GROUP BY 1")
+def page_boxes(spark, sf_dir):
+    from draftlens.plans.fixtures import boxes
+
+    return drawing.union_box(boxes(spark, sf_dir), ["page"]).select("page", "x0", "x1")

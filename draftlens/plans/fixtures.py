@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draftlens.operators import inspection, spatial, windows
+from draftlens.operators import drawing, inspection, spatial, windows
+from draftlens.streaming import metrics
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,49 +93,49 @@ def forward_fill(spark, sf_dir):
 
 @query("SELECT digest, min(doc_id) AS first_id, count(*) AS n_copies FROM (SELECT doc_id, sha256(text) AS digest FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def dup_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    return drawing.duplicate_groups(table(spark, sf_dir, "documents"), F.sha2("text", 256), F.col("doc_id"))
 
 
 @query("SELECT event_type, count(*) AS n, count_if(value < 0) AS n_errors, max(value) AS max_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
 def metrics_by_route(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0).alias("n_errors"), F.max("value").alias("max_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    return metrics.by_route(table(spark, sf_dir, "events"), "event_type", "value", ["ts", "event_id"])
+
+
+@query("SELECT event_type, user_id % 4 AS status, count(*) AS n FROM events GROUP BY 1, 2")
+def metrics_by_status(spark, sf_dir):
+    return metrics.by_status(table(spark, sf_dir, "events").withColumn("status", F.pmod("user_id", F.lit(4))), "event_type", "status")
 
 
 @query("SELECT page, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(0, 4999)) AS page) LEFT JOIN (SELECT l_orderkey % 4096 AS p, count(*) AS n FROM lineitem GROUP BY 1) ON p = page")
 def page_counts_with_zeros(spark, sf_dir):
-    counts = boxes(spark, sf_dir).groupBy("page").agg(F.count("*").alias("n"))
-    return spark.range(5000).withColumnRenamed("id", "page").join(counts, "page", "left").select("page", F.coalesce("n", F.lit(0)).alias("n"))
+    return drawing.page_counts(boxes(spark, sf_dir), "page", 5000)
 
 
 @query("SELECT width, n FROM (SELECT l_tax AS width, count(*) AS n, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem GROUP BY 1) ORDER BY n DESC, first LIMIT 1")
 def width_mode(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_tax").alias("width")).agg(F.count("*").alias("n"), F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("first"))
-    return rows.orderBy(F.desc("n"), "first").limit(1).select("width", "n")
+    return drawing.modal_width(table(spark, sf_dir, "lineitem"), F.col("l_tax"), F.col("l_orderkey") * 8 + F.col("l_linenumber"))
 
 
-@query("SELECT o_orderkey, unnest(range(1, 2 + o_orderkey % 4)) AS copy FROM orders")
+@query("SELECT o_orderkey, unnest(range(1, 1 + greatest(1, least(999, CASE WHEN o_orderkey % 50 = 0 THEN 1200 WHEN o_orderkey % 7 = 0 THEN 1 ELSE o_orderkey % 5 - 1 END)))) AS copy FROM orders")
 def quantity_expand(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.pmod("o_orderkey", F.lit(4)))).alias("copy"))
+    quantity = F.when(F.col("o_orderkey") % 50 == 0, 1200).when(F.col("o_orderkey") % 7 != 0, F.pmod("o_orderkey", F.lit(5)) - 1)
+    return drawing.expand_quantity(table(spark, sf_dir, "orders").select("o_orderkey"), quantity)
 
 
-@query("SELECT d.doc_id AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE -1 END AS quality, l.doc_id IS NOT NULL AS decided FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT d.doc_id AS doc_id, CASE WHEN l.doc_id IS NULL THEN -1 WHEN l.doc_id % 4 = 0 THEN NULL ELSE l.quality END AS quality, l.doc_id IS NOT NULL AS decided FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def overlay_decisions(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has"))
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("has"), F.col("quality")).otherwise(-1).alias("quality"), F.coalesce("has", F.lit(False)).alias("decided"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("quality")).alias("quality"))
+    return drawing.overlay(table(spark, sf_dir, "documents").select("doc_id"), labels, "doc_id", {"quality": F.lit(-1)}).select("doc_id", "quality", "decided")
 
 
-@query("SELECT source, count(*) AS n_in, count_if(n_chars >= 100) AS n_out, min(CASE WHEN n_chars < 100 THEN doc_id END) AS first_drop FROM documents GROUP BY 1")
+@query("""SELECT source, count(*) AS n_in, count_if(n_chars >= 100 AND lang <> 'es') AS n_out, min(CASE WHEN n_chars < 100 OR lang = 'es' THEN doc_id END) AS first_drop, count_if(n_chars < 100) AS n_short, count_if(n_chars >= 100 AND lang = 'es') AS n_other FROM documents GROUP BY 1""")
 def drop_ledger(spark, sf_dir):
-    kept = F.col("n_chars") >= 100
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_in"), F.count_if(kept).alias("n_out"), F.min(F.when(~kept, F.col("doc_id"))).alias("first_drop"))
+    out = drawing.drop_ledger(table(spark, sf_dir, "documents"), "source", [("short", F.col("n_chars") < 100), ("other", F.col("lang") == "es")], F.col("doc_id"))
+    n = lambda name: F.coalesce(F.col("by_reason")[name], F.lit(0)).alias(f"n_{name}")
+    return out.select("source", "n_in", "n_out", "first_drop", n("short"), n("other"))
 
 
-@query("SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN a.p_retailprice - 2 AND a.p_retailprice + 2")
+@query("SELECT a.p_partkey AS key, b.p_partkey AS entry FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND abs(b.p_retailprice - a.p_retailprice) <= 2 AND abs(a.p_partkey - b.p_partkey) <= 900")
 def key_band_lookup(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice").withColumn("band", F.floor(F.col("p_retailprice") / 2))
-    near = part.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    fits = F.expr("a.p_partkey < b.p_partkey and b.p_retailprice between a.p_retailprice - 2 and a.p_retailprice + 2 and a.p_size = b.p_size and a.p_brand = b.p_brand and a.band = b.band")
-    return near.alias("a").join(part.alias("b"), fits).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return drawing.band_lookup(part, part, ["p_size", "p_brand"], {"p_retailprice": 2.0, "p_partkey": 900.0}, "p_partkey", "p_partkey")
