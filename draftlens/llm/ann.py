@@ -1,64 +1,86 @@
 """Approximate nearest neighbours (op 5): cross-polytope hashing with multiprobe tables.
 
-Each table applies fast Hadamard pseudo-rotations (random signs, transform, three times) and
-hashes a unit vector to its nearest signed axis. The rows of the index are hashed where they lie;
-queries come in blocks of at most QUERY_BLOCK, each probing its nearest axes in every table, and
-candidates are ranked by their exact cosine in double precision. Nothing but the block's queries
-is broadcast, a bucket is never gathered in one task, and results are reduced per partition
-before they are shuffled.
+Equal vectors are indexed once, with the least vec_ids that have them, as no others can be among
+the k nearest. Each table turns a unit vector twice by fast Hadamard pseudo-rotations (random
+signs, transform, three times) and hashes it to the nearest signed axis of each turn; of the second
+turn it keeps as many leading coordinates as make a bucket hold about BUCKET vectors, so that the
+candidates of a query don't grow with the table. Queries probe, in every table, the PROBES buckets
+whose axes are nearest to them. Rows and probes meet in an equi-join on table and bucket, which
+carries ids only; candidates are then ranked by their exact cosine in double precision, against
+queries that are broadcast in blocks of a bounded size. A query with fewer than k candidates is
+compared with all vectors, in blocks.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from draftlens.llm.shared import scratch_dir
+from draftlens.llm.shared import cut, drop
 
-QUERY_BLOCK, CHUNK = 4096, 4096
-TABLES, PROBES = 14, 10
-SCHEMA = "query_id long, vec_id long, score double"
+TABLES, PROBES, BUCKET = 32, 16, 6
+#: Bytes of query vectors in one broadcast; rows that are compared at once.
+BLOCK_BYTES, CHUNK = 32 << 20, 2048
 
 
 class CrossPolytope:
-    """Hash tables for vectors of one length; `probes` of the 2 * width signed axes are searched."""
+    """Hash tables for unit vectors of one length; `second` signed axes of the second turn make up the bucket."""
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = 7):
+    def __init__(self, dim: int, size: int, tables: int = TABLES, seed: int = 7):
         self.width = 1 << max(0, dim - 1).bit_length()
         self.dim, self.tables = dim, tables
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
+        axes = 2 * self.width
+        self.second = 2 * min(self.width, max(0, int(np.ceil(size / BUCKET / axes / 2)))) if size > BUCKET * axes else 1
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 2, 3, self.width))
 
-    def rotate(self, unit: np.ndarray, table: int) -> np.ndarray:
+    def rotate(self, unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
         x = np.zeros((len(unit), self.width))
         x[:, : self.dim] = unit
-        for signs in self.signs[table]:
-            x = x * signs
+        for s in signs:
+            x = x * s
             step = 1
             while step < self.width:
                 y = x.reshape(len(x), -1, 2, step)
                 x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), 2).reshape(len(x), -1)
                 step *= 2
             x /= np.sqrt(self.width)
-        return np.concatenate((x, -x), 1)
+        return x
+
+    def _turned(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        x = self.rotate(unit, self.signs[table, 0])
+        first = np.concatenate((x, -x), 1)
+        if self.second == 1:
+            return first, np.zeros((len(unit), 1))
+        y = self.rotate(unit, self.signs[table, 1])[:, : self.second // 2]
+        return first, np.concatenate((y, -y), 1)
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        """The nearest signed axis of each vector in each table."""
-        return np.stack([self.rotate(unit, t).argmax(1) for t in range(self.tables)])
+        """The bucket of each vector (column) in each table (row)."""
+        out = []
+        for t in range(self.tables):
+            first, second = self._turned(unit, t)
+            out.append(first.argmax(1) * self.second + second.argmax(1))
+        return np.stack(out)
 
-    def probes(self, unit: np.ndarray, count: int) -> list[np.ndarray]:
-        """Per table, whether each query looks at each axis."""
+    def probes(self, unit: np.ndarray, count: int) -> np.ndarray:
+        """For each table and vector the `count` buckets whose axes it is nearest to, by the loss over the best of each turn."""
         out = []
         for t in range(self.tables):
-            axes = self.rotate(unit, t)
-            hit = np.zeros(axes.shape, bool)
-            np.put_along_axis(hit, np.argpartition(-axes, min(count, axes.shape[1]) - 1, 1)[:, :count], True, 1)
-            out.append(hit)
-        return out
+            first, second = self._turned(unit, t)
+            n1, n2 = min(count, first.shape[1]), min(count, second.shape[1])
+            i1, i2 = np.argsort(-first, 1)[:, :n1], np.argsort(-second, 1)[:, :n2]
+            v1, v2 = np.take_along_axis(first, i1, 1), np.take_along_axis(second, i2, 1)
+            loss = (v1[:, :1] - v1)[:, :, None] ** 2 + (v2[:, :1] - v2)[:, None, :] ** 2
+            flat = loss.reshape(len(unit), -1)
+            best = np.argsort(flat, 1, kind="stable")[:, : min(count, flat.shape[1])]
+            bucket = np.take_along_axis(i1, best // n2, 1) * self.second + np.take_along_axis(i2, best % n2, 1)
+            out.append(bucket)
+        return np.stack(out)
 
 
 def usable(vector: str) -> Column:
@@ -67,71 +89,142 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norm = np.sqrt((v * v).sum(1))
-    return v / norm[:, None], norm
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def _hasher(index: CrossPolytope, probes: int | None):
+    """(row, bucket) of vectors (row, v): a bucket per table, or `probes` buckets per table."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                rows = batch.slice(at, CHUNK)
+                unit = _unit(_matrix(rows.column("v"), index.dim))
+                codes = index.codes(unit)[:, :, None] if probes is None else index.probes(unit, probes)
+                bucket = codes * index.tables + np.arange(index.tables)[:, None, None]
+                row = np.broadcast_to(rows.column("row").to_numpy()[None, :, None], bucket.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(row.ravel()), pa.array(bucket.ravel().astype(np.int64))], ["row", "bucket"])
+
+    return work
+
+
+class _Best:
+    """The best `k` candidates of each query that a task has seen, by score and then least vec_id."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.row, self.least = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.full((n, k), np.iinfo(np.int64).max)
+        self.k = k
+
+    def add(self, q: int, score: np.ndarray, row: np.ndarray, least: np.ndarray) -> None:
+        good = score >= self.score[q, -1]
+        if good.any():
+            s, r, i = (np.concatenate((a[q], b[good])) for a, b in ((self.score, score), (self.row, row), (self.least, least)))
+            keep = np.lexsort((i, -s))[: self.k]
+            self.score[q], self.row[q], self.least[q] = s[keep], r[keep], i[keep]
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(self.row[i, j]), pa.array(self.score[i, j])], ["q", "row", "score"])
 
 
-def _searcher(q_id: np.ndarray, q: np.ndarray, k: int, tables: int, probes: int):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, q_norm = _unit(q)
-        index = CrossPolytope(q.shape[1], tables)
-        hits = index.probes(unit, probes)
-        best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-        best = np.full((len(q), k), -np.inf)
+def _ranker(shared, k: int, dim: int):
+    """Exact cosines of vectors (row, least, v) with the queries in `qs` (null: with all of the block)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        norms, best = np.sqrt((vectors * vectors).sum(1)), _Best(len(ids), k)
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                part = batch.iloc[at : at + CHUNK]
-                v = np.stack(part["v"].to_numpy()).astype(float)
-                ids = part["vec_id"].to_numpy(np.int64)
-                v_unit, v_norm = _unit(v)
-                codes = index.codes(v_unit)
-                for i in range(len(q)):
-                    mask = hits[0][i][codes[0]]
-                    for t in range(1, tables):
-                        mask = mask | hits[t][i][codes[t]]
-                    rows = np.flatnonzero(mask & (ids != q_id[i]))
-                    if not len(rows):
-                        continue
-                    score = (v[rows] * q[i]).sum(1) / (v_norm[rows] * q_norm[i])
-                    all_id, all_score = np.concatenate((best_id[i], ids[rows])), np.concatenate((best[i], score))
-                    keep = np.lexsort((all_id, -all_score))[:k]
-                    best_id[i], best[i] = all_id[keep], all_score[keep]
-        i, j = np.nonzero(np.isfinite(best))
-        yield pd.DataFrame({"query_id": q_id[i], "vec_id": best_id[i, j], "score": best[i, j]})
+            for at in range(0, batch.num_rows, CHUNK):
+                rows = batch.slice(at, CHUNK)
+                v = _matrix(rows.column("v"), dim)
+                norm, row, least = np.sqrt((v * v).sum(1)), rows.column("row").to_numpy(), rows.column("least").to_numpy()
+                if rows.column("qs").null_count == 0:
+                    lists = rows.column("qs").to_pylist()
+                    q = np.searchsorted(ids, np.fromiter((x for qs in lists for x in qs), np.int64))
+                    pair = np.unique(q * len(v) + np.repeat(np.arange(len(v)), [len(qs) for qs in lists]))
+                    q, at_row = np.divmod(pair, len(v))
+                    cuts = np.flatnonzero(np.diff(q)) + 1
+                    groups = zip(q[np.concatenate(([0], cuts))], np.split(at_row, cuts), strict=True) if len(q) else []
+                else:
+                    groups = ((i, np.arange(len(v))) for i in range(len(ids)))
+                for i, r in groups:
+                    best.add(i, (v[r] * vectors[i]).sum(1) / (norm[r] * norms[i]), row[r], least[r])
+        yield best.rows(ids)
 
     return work
 
 
+RANKED = "q long, row long, score double"
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, probes: int) -> DataFrame:
+    """query_id, vec_id, score of the k best rows of each query among vectors of one length."""
+    spark = rows.sparkSession
+    ids = rows.select("vec_id", "v", F.xxhash64("v").alias("h")).dropDuplicates(["vec_id", "h"])
+    order = Window.partitionBy("h").orderBy("vec_id")
+    # A query's own id takes one place at most among the ids of one vector.
+    few = cut(ids.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1).drop("_place"))
+    # Vectors go by a number, which is shorter on the way than their hash.
+    vectors = cut(few.groupBy("h").agg(F.first("v").alias("v"), F.min("vec_id").alias("least")).withColumn("row", F.monotonically_increasing_id()))
+    queries = cut(asked.select("vec_id", F.xxhash64("v").alias("h"), "v").dropDuplicates(["vec_id", "h"]))
+    wanted = cut(queries.groupBy("h").agg(F.first("v").alias("v")).withColumn("row", F.monotonically_increasing_id()))
+    index = CrossPolytope(dim, vectors.count(), tables)
+    at = cut(vectors.select("row", "v").mapInArrow(_hasher(index, None), "row long, bucket long"))
+
+    def ranked(chosen: DataFrame, paired: bool) -> list[DataFrame]:
+        """(q, row, score) by blocks of queries, each broadcast for one pass over its candidates."""
+        out = []
+        blocks = 1 + chosen.count() * dim * 8 // BLOCK_BYTES
+        for b in range(blocks):
+            mine = chosen.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)
+            block = sorted((r["row"], r["v"]) for r in mine.collect())  # at most about BLOCK_BYTES
+            if not block:
+                continue
+            shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], float)))
+            candidates = vectors.select("row", "least", "v", F.lit(None).cast("array<long>").alias("qs"))
+            if paired:
+                probed = mine.select("row", "v").mapInArrow(_hasher(index, probes), "row long, bucket long").withColumnRenamed("row", "q")
+                lists = at.join(probed, "bucket").groupBy("row").agg(F.collect_list("q").alias("qs"))
+                candidates = vectors.join(lists, "row").select("row", "least", "v", "qs")
+            out.append(cut(candidates.mapInArrow(_ranker(shared, k + 1, dim), RANKED)))
+        return out
+
+    none = spark.createDataFrame([], RANKED)
+    found = none
+    for part in ranked(wanted, True):
+        found = found.unionByName(part)
+    # With k + 1 vectors there are k other rows whatever the query's own id; a query with fewer is compared with all.
+    full = found.groupBy("q").agg(F.countDistinct("row").alias("n")).where(F.col("n") > k)
+    short = cut(wanted.join(full.select(F.col("q").alias("row")), "row", "left_anti"))
+    for part in ranked(short, False):
+        found = found.unionByName(part)
+    drop(at, short)
+    named = queries.select(F.col("vec_id").alias("query_id"), "h").join(wanted.select("h", F.col("row").alias("q")), "h").drop("h")
+    near = few.select("vec_id", "h").join(vectors.select("h", "row"), "h").drop("h")
+    best = named.join(found, "q").join(near, "row")
+    return best.where("vec_id <> query_id").select("query_id", "vec_id", "score")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, ties to smaller vec_id.
 
-    Both sides have vec_id and embedding; lengths that differ from a query's don't compare with it.
-    Vectors that `usable` rejects take no part. Rows that repeat a vec_id count as candidates each.
+    Both sides have vec_id and embedding. Vectors that `usable` rejects and rows with a null vec_id
+    take no part; vectors of a length that differs from the query's aren't its candidates. Rows
+    that repeat a vec_id with the same vector count once, with other vectors each; a query_id with
+    several vectors has the nearest rows to any of them, each row once with its best score.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where(usable("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    out, results = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", 0
-    blocks: dict[int, list] = {}
-
-    def run(dim: int, block: list) -> DataFrame:
-        q_id, q = np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], float)
-        found = rows.where(F.size("v") == dim).mapInPandas(_searcher(q_id, q, k, tables, probes), SCHEMA)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    for row in asked.toLocalIterator():
-        block = blocks.setdefault(len(row["v"]), [])
-        block.append((row["vec_id"], row["v"]))
-        if len(block) == QUERY_BLOCK:
-            run(len(row["v"]), blocks.pop(len(row["v"]))).write.mode("append").parquet(out)
-            results += 1
-    last = [run(dim, block) for dim, block in blocks.items()]
-    frames = last + ([spark.read.parquet(out)] if results else [])
-    if not frames:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    plain = lambda df: df.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows, asked = plain(vectors), plain(queries)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim in sorted(r[0] for r in asked.select(F.size("v")).distinct().collect()):  # a handful of lengths
+        same = F.size("v") == dim
+        found = found.unionByName(_search(rows.where(same), asked.where(same), dim, k, tables, probes))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
