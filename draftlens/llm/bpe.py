@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 MEMO_ENTRIES = 400_000
 
 
-def merge_pieces(symbols: list, rank) -> list:
-    """Merge the lowest-ranked adjacent pair (leftmost on ties) until none is left.
+def merge(symbols: list, rank) -> int:
+    """Merge the lowest-ranked adjacent pair (leftmost on ties) in place until none is left; the number of merges.
 
-    `symbols` are byte strings (or strings) joined by concatenation; `rank(a, b)` gives the pair's
-    rank or None. A heap orders pairs and linked neighbours make each merge O(log n).
+    `symbols` are byte strings (or strings) joined by concatenation, merged-away places become
+    None; `rank(a, b)` gives the pair's rank or None. A heap orders pairs and linked neighbours
+    make each merge O(log n).
     """
-    n = len(symbols)
+    n, merges = len(symbols), 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i], symbols[i + 1])) is not None]
     heapq.heapify(heap)
@@ -40,6 +41,7 @@ def merge_pieces(symbols: list, rank) -> list:
         j = after[i] if symbols[i] is not None else n
         if j >= n or symbols[i] != left or symbols[j] != right:
             continue
+        merges += 1
         symbols[i], symbols[j] = left + right, None
         k = after[i] = after[j]
         if k < n:
@@ -49,7 +51,7 @@ def merge_pieces(symbols: list, rank) -> list:
         h = before[i]
         if h >= 0 and (r := rank(symbols[h], symbols[i])) is not None:
             heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
-    return [s for s in symbols if s is not None]
+    return merges
 
 
 def compile_pattern(pattern: str) -> regex.Pattern:
@@ -92,7 +94,8 @@ class Counting:
         self.memo = Memo(self.piece)
 
     def piece(self, piece: str) -> int:
-        return len(merge_pieces([self.letters[b] for b in piece.encode()], lambda a, b: self.rank.get((a, b))))
+        symbols = [self.letters[b] for b in piece.encode()]
+        return len(symbols) - merge(symbols, lambda a, b: self.rank.get((a, b)))
 
     def count(self, text: str) -> int:
         parts = self.added.split(text) if self.added else [text]
@@ -157,7 +160,9 @@ class Codec:
         if slot >= 0:
             ids = [self.ids[slot]]
         else:
-            ids = [self.ranks[s] for s in merge_pieces([raw[i : i + 1] for i in range(len(raw))], lambda a, b: self.ranks.get(a + b))]
+            symbols = [raw[i : i + 1] for i in range(len(raw))]
+            merge(symbols, lambda a, b: self.ranks.get(a + b))
+            ids = [self.ranks[s] for s in symbols if s is not None]
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -181,30 +186,33 @@ def codec(path: str, pattern: str) -> Codec:
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text (null: empty)."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counting(path, pattern).count
         for batch in batches:
-            tokens = [count(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": tokens})
+            tokens = pa.array([count(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.mapInPandas(work, "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    out = rows.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) of every whole text, and its decoded bytes."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """The columns `keep`, ids (binary, little-endian unsigned 32-bit) of every whole text, and its decoded bytes."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for part in range(0, len(batch), 256):
-                rows = batch.iloc[part : part + 256]
-                ids = [c.encode(t) for t in rows["text"]]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": ids, "decoded": [c.decode(i) for i in ids]})
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work, "doc_id long, ids binary, decoded binary")
+            for part in range(0, batch.num_rows, 256):
+                rows = batch.slice(part, 256)
+                ids = [c.encode(t) for t in rows.column("_text").to_pylist()]
+                columns = {n: rows.column(n) for n in rows.schema.names if n != "_text"}
+                yield pa.RecordBatch.from_pydict(columns | {"ids": pa.array(ids, pa.binary()), "decoded": pa.array([c.decode(i) for i in ids], pa.binary())})
+
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return rows.mapInArrow(work, f"{kinds}, ids binary, decoded binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
