@@ -16,11 +16,15 @@ ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "entropy"]
-# Candidates for entropy: character class, pattern, least bits per character in some window.
-CLASSES = [("base64", r"[A-Za-z0-9+/_=-]{24,}", 4.0)]
-WINDOW = 24
-# Strings that look random but are known identifiers.
-ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z]+|[0-9_=+/-]+|[A-Z][a-z]+(?:[A-Z][a-z]+)+[0-9]*|[=_+/-]*[A-Za-z]*[=_+/-]*)$"
+# Candidates for entropy: class, pattern, window, least bits per character in some
+# window, and what else the string has to hold (all of it).
+CLASSES = [
+    ("hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", 24, 3.0, ["[0-9]", "[A-Fa-f]"]),
+    ("alphanumeric", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{16,23}(?![A-Za-z0-9+/_=-])", 16, 3.4, ["[0-9]", "[A-Z]", "[a-z]"]),
+    ("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.0, ["[A-Z0-9+/_=-]", "[A-Za-z]"]),
+]
+# Strings that look random but are known identifiers: UUIDs, numbers, names made of words.
+ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9_=+/-]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]*|[A-Z]+|[=_+/-]*(?:[A-Za-z]?[a-z]+[=_+/-]+)+[A-Za-z]?[a-z]*|[=_+/-]*(?:[A-Z]+[=_+/-]+)*[A-Z]*[=_+/-]*)$"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -41,36 +45,35 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
 
 
-def peak_entropy(text: Column, window: int = WINDOW) -> Column:
+def peak_entropy(text: Column, window: int) -> Column:
     """The largest Shannon entropy, in bits per character, of any window of an ASCII string.
 
-    Counts per character change by one in and one out as the window slides, and the sum of
-    c * log2(c) with them.
+    The window's sum of c * log2(c) changes by one character in and one out as it slides.
     """
-    logs = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
-    codes = F.filter(codes, lambda c: c > 0)
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"), F.lit(0).alias("seen"))
+    logs = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    cost = lambda n: F.element_at(logs, n + 1)
+    count = lambda within, c: F.length(within) - F.length(F.replace(within, c, F.lit("")))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
 
-    def step(acc: Column, z: Column) -> Column:
-        into, out = z["into"], z["out"]
-        n_in = F.element_at(acc["n"], into + 1)
-        grown = acc["s"] + F.element_at(logs, n_in + 2) - F.element_at(logs, n_in + 1)
-        n_out = F.when(out >= 0, F.element_at(acc["n"], F.greatest(out, F.lit(0)) + 1) + F.when(out == into, 1).otherwise(0))
-        s = F.when(out >= 0, grown + F.element_at(logs, F.greatest(n_out, F.lit(1))) - F.element_at(logs, F.greatest(n_out, F.lit(1)) + 1)).otherwise(grown)
-        n = F.transform(acc["n"], lambda c, i: c + F.when(i == into, 1).otherwise(0) - F.when(i == out, 1).otherwise(0))
-        seen = acc["seen"] + 1
-        return F.struct(n.alias("n"), s.alias("s"), F.when(seen >= window, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"), seen.alias("seen"))
+    def step(acc: Column, i: Column) -> Column:
+        start = F.greatest(i - window, F.lit(1))
+        into, before = F.substring(text, i, F.lit(1)), F.substring(text, start, i - start)
+        n_in = count(before, into)
+        s = acc["s"] + cost(n_in + 1) - cost(n_in)
+        gone = F.substring(text, start, F.lit(1))
+        n_out = count(before, gone) + F.when(gone == into, 1).otherwise(0)
+        s = F.when(i > window, s + cost(F.greatest(n_out - 1, F.lit(0))) - cost(n_out)).otherwise(s)
+        return F.struct(s.alias("s"), F.when(i >= window, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
 
-    pairs = F.arrays_zip(codes.alias("into"), F.concat(F.array_repeat(F.lit(-1), window), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - window, F.lit(0)))).alias("out"))
-    pairs = F.slice(pairs, F.lit(1), F.size(codes))
-    return F.when(F.length(text) >= window, F.aggregate(pairs, zero, step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window)).otherwise(F.lit(0.0))
+    slid = F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window)
+    return F.when(F.length(text) >= window, slid).otherwise(F.lit(0.0))
 
 
 def scan(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id and its spans (start, kind as a place in KINDS, end), by start and then kind.
 
-    Base kinds stay whatever the method adds; an entropy span within a base span isn't repeated.
+    Base kinds stay whatever the method adds; an entropy span within a base span, or within one of
+    an earlier class, isn't repeated.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *keep)
@@ -78,10 +81,16 @@ def scan(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     base = F.concat(_spans(F.col("text"), ASSIGN, 0, keep=long_value), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))
     rows = rows.withColumn("base", base)
     extra = F.array().cast(SPAN)
-    for _, pattern, least in CLASSES:
-        random = lambda m, least=least: ~m.rlike(ALLOWED) & m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (peak_entropy(m) >= least)
+    for _, pattern, window, least, holds in CLASSES:
+
+        def random(m: Column, window=window, least=least, holds=holds) -> Column:
+            has = ~m.rlike(ALLOWED)
+            for p in holds:
+                has = has & m.rlike(p)
+            return F.when(has, peak_entropy(m, window) >= least).otherwise(F.lit(False))
+
         extra = F.concat(extra, _spans(F.col("text"), pattern, 3, keep=random))
-    rows = rows.withColumn("extra", extra)
+    rows = rows.withColumn("extra", F.array_distinct(extra))
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
     return rows.select("doc_id", "text", *keep, F.array_sort(F.col("base")).alias("base"), F.array_sort(F.concat("base", F.filter("extra", lambda s: ~inside(s)))).alias("spans"))
 
