@@ -8,9 +8,11 @@ shingles with a set of n (at 80 %), one of at most that size ceil(0.8 n). So a s
 first n - t + l shingles and looks with its first n - ceil(0.8 n) + l; two sets can only link if
 those share min(l, l') of them. l grows, set by set, while that lowers the estimated cost.
 
-Candidates are verified exactly. First each set meets one likely partner at a time, which joins
-groups of near copies with work linear in their size; then every candidate pair whose ends aren't
-yet connected is verified, so no link between components is lost and no group is expanded.
+Candidates are verified exactly: a bitmap of each set's hashes bounds what a pair can share, and
+pairs that may share enough have their whole sets compared. First each set meets one likely
+partner at a time, that with the most shared shingles among those it could meet, which joins groups
+of near copies with work linear in their size; then every candidate pair whose ends aren't yet
+connected is verified, so no link between components is lost and no group is expanded.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat a
 doc_id with different texts each count; the result has a row per input row. A row with a null
@@ -35,6 +37,9 @@ from draftlens.llm.shared import connected_components, cut, drop
 BITS, BLOCK, MAX_MATCH, STAR_ROUNDS, MEMO_ENTRIES = 20, 4096, 4, 3, 1_000_000
 #: A token with more rows than this is split over several tasks when pairs are formed.
 SPLIT = 1000
+#: Longs of the short bitmap that goes with every row of a token.
+SHORT = 8
+SHORTS = [f"b{i}" for i in range(SHORT)]
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -168,6 +173,37 @@ def _prefixes(sketch, percent: int):
     return work
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits that a set's hashes hit, eight or more per shingle up to 2^16; whole bytes, a power of two of them."""
+    size = min(1 << 16, max(64 * SHORT, 1 << (8 * len(shingles) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(shingles.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def most_shared(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
+    """An upper bound of what two sets share: each bit that only one has stands for a shingle of its own."""
+    size = min(len(x), len(y))
+    x, y = folded(x, size), folded(y, size)
+    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in batches:
+        for texts in _parts(batch.column("text")):
+            sets = shingler.sets(texts)
+            bits = [bitmap(s) for s in sets]
+            short = np.array([folded(b, 8 * SHORT).view(np.int64) for b in bits], np.int64).reshape(-1, SHORT)
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([b.tobytes() for b in bits], pa.binary()), *[pa.array(short[:, i]) for i in range(SHORT)]], ["name", "bits", *SHORTS])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -176,6 +212,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "s"])
 
 
+def _possible(percent: int):
+    """The pairs whose bitmaps leave room for a link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ba, bb = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)] for c in ("ba", "bb"))
+            na, nb = (batch.column(c).to_pylist() for c in ("na", "nb"))
+            keep = [(100 + percent) * most_shared(x, n, y, k) >= percent * (n + k) for x, n, y, k in zip(ba, na, bb, nb, strict=True)]
+            yield batch.select(["a", "b", "src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return work
+
+
 def _verifier(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +240,15 @@ def _verifier(percent: int):
     return work
 
 
-def join(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+PAIR = ["a", "b", "na", "nb", "src", "dst"]
+
+
+def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, h, n_shingles, name; h is the text's hash, name its set's) and the linked sets (name, component)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(texts.withColumn("h", F.xxhash64("text")).mapInArrow(_profile, PROFILE))
-    profile = rows.where("block is null").select("doc_id", F.col("n").alias("n_shingles"), "name", "h")
+    profile = rows.where("block is null").select("doc_id", "h", F.col("n").alias("n_shingles"), "name")
     sketch = spark.sparkContext.broadcast(sketch_of(rows))
 
     # Tokens of two sets or more, one of which can be found by them; each set once per token.
@@ -204,19 +256,35 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     by = Window.partitionBy("token")
     once = tokens.withColumn("_before", F.lag("name").over(by.orderBy("name"))).where("_before is null or _before <> name").drop("_before")
     shared = once.withColumn("_sets", F.count("*").over(by)).withColumn("_any", F.max("found").over(by))
-    common = cut(shared.where("_sets > 1 and _any").drop("_sets", "_any"))
+    tokens = cut(shared.where("_sets > 1 and _any").drop("_sets", "_any"))
 
-    names = common.select("name").distinct()
     # One text of each set that has a shared token, by its hash: equal texts have equal sets.
-    chosen = cut(profile.join(names, "name", "left_semi").groupBy("name").agg(F.min("h").alias("h")))
-    wanted = texts.select("text", F.xxhash64("text").alias("h")).join(chosen.select("h"), "h", "left_semi").select("text")
-    sets = cut(wanted.mapInArrow(_sets, "name long, s binary").groupBy("name").agg(F.first("s").alias("s")))
-    drop_later = [common, chosen, sets]
+    met = tokens.groupBy("name").agg(F.count("*").alias("degree"))
+    chosen = cut(profile.join(met, "name").groupBy("name").agg(F.min("h").alias("h"), F.first("degree").alias("degree")))
+
+    def made(names: DataFrame, make, schema: str) -> DataFrame:
+        """What `make` works out from one text of each of the names."""
+        wanted = texts.select("text", F.xxhash64("text").alias("h")).join(names.select("h"), "h", "left_semi").select("text")
+        out = wanted.mapInArrow(make, schema)
+        return cut(out.groupBy("name").agg(*[F.first(c).alias(c) for c in out.columns if c != "name"]))
+
+    bits = made(chosen, _bitmaps, "name long, bits binary, " + ", ".join(f"{b} long" for b in SHORTS))
+    common = cut(tokens.join(bits.drop("bits").join(chosen.select("name", "degree"), "name"), "name"))
+    drop(tokens)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The components (src, dst) that the links among the pairs (a, b) join."""
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("src", "dst", "sa", "sb")
-        return cut(both.mapInArrow(_verifier(percent), "src long, dst long").distinct())
+        pairs = cut(pairs.select(*PAIR))
+        both = pairs.join(bits.select(F.col("name").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("name").alias("b"), F.col("bits").alias("bb")), "b")
+        close = cut(both.mapInArrow(_possible(percent), "a long, b long, src long, dst long"))
+        drop(pairs)
+        names = close.select(F.col("a").alias("name")).union(close.select("b")).distinct()
+        need = cut(chosen.join(names, "name", "left_semi").select("h"))
+        sets = made(need, _sets, "name long, s binary")
+        both = close.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("src", "dst", "sa", "sb")
+        out = cut(both.mapInArrow(_verifier(percent), "src long, dst long").distinct())
+        drop(close, need, sets)
+        return out
 
     def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """Names in new components; names that have none yet are their own."""
@@ -232,16 +300,27 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
             return common.withColumn("component", F.col("name"))
         return common.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
 
-    def near(a: str, b: str) -> str:
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
+    def room(x: str, y: str) -> str:
+        """Sizes, places and short bitmaps of two rows of a token leave room for a link."""
+        need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+        own = lambda p, q: " + ".join(f"bit_count({p}.b{i} & ~{q}.b{i})" for i in range(SHORT))
+        return f"""{x}.component <> {y}.component and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
+            and {x}.pos <= {x}.n - {need} + least({x}.m, {y}.m) - 1 and {y}.pos <= {y}.n - {need} + least({x}.m, {y}.m) - 1
+            and least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}
+            and {x}.n - ({own(x, y)}) >= {need} and {y}.n - ({own(y, x)}) >= {need}"""
+
+    # What the pair shares beyond its last common place in either order can't be more than what follows there.
+    last = f"""c + least(na - pa, nb - pb) - 1 >= ceil({percent} * (na + nb) / {100 + percent}) and c >= m"""
+    columns = ["name", "n", "m", "pos", "component", *SHORTS]
     labels = None
     for turn in range(STAR_ROUNDS):
-        first = F.first(F.struct("name", "n", "component")).over(by.orderBy(F.xxhash64("name", F.lit(turn)), "name"))
-        star = labelled(labels).withColumn("hub", first).where("component <> hub.component and " + near("n", "hub.n"))
-        star = star.groupBy("name", "component", F.struct("hub.name", "hub.component").alias("hub")).count()
-        star = star.groupBy("name", "component").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-        new = verified(star.select(F.col("name").alias("a"), F.col("hub.name").alias("b"), F.col("component").alias("src"), F.col("hub.component").alias("dst")))
+        # The set that most others could meet first; later any, so that other centres have their turn.
+        rank = [F.desc("degree"), F.xxhash64("name")] if turn == 0 else [F.xxhash64("name", F.lit(turn)), F.col("name")]
+        star = labelled(labels).select("token", F.struct(*columns).alias("x"), F.first(F.struct(*columns)).over(by.orderBy(*rank)).alias("y")).where(room("x", "y"))
+        star = star.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
+        star = star.agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"), F.first(F.least("x.m", "y.m")).alias("m")).where(last)
+        star = star.groupBy("a").agg(F.max_by(F.struct(*PAIR[1:]), F.struct("c", "b")).alias("best")).select("a", "best.*")
+        new = verified(star)
         if new.isEmpty():
             drop(new)
             break
@@ -250,20 +329,22 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # Every pair of sets in different components that shares enough of the shingles both could meet by.
     at = labelled(labels).withColumn("_lo", F.min("component").over(by)).withColumn("_hi", F.max("component").over(by)).withColumn("_rows", F.count("*").over(by))
-    at = cut(at.where("_lo <> _hi").drop("_lo", "_hi"))
+    at = cut(at.where("_lo <> _hi").select("token", "found", "_rows", *columns))
     parts = F.ceil(F.col("_rows") / SPLIT)
     x = at.where("found").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("x")
     y = at.withColumn("part", F.pmod(F.xxhash64("name"), parts)).alias("y")
-    least = f"ceil({percent} * (x.n + y.n) / {100 + percent})"  # what the pair has to share
-    m = "least(x.m, y.m)"
-    meet = f"""x.token = y.token and x.part = y.part and x.component <> y.component and (x.n < y.n or x.n = y.n and x.name < y.name) and 100 * x.n >= {percent} * y.n
-        and x.pos <= x.n - {least} + {m} - 1 and y.pos <= y.n - {least} + {m} - 1 and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {least}"""
-    rest = x.join(y, F.expr(meet)).groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
-    rest = rest.agg(F.count("*").alias("c"), F.first(F.expr(m)).alias("m")).where("c >= m").select("a", "b", "src", "dst")
+    rest = x.join(y, F.expr("x.token = y.token and x.part = y.part and (x.n < y.n or x.n = y.n and x.name < y.name) and " + room("x", "y")))
+    rest = rest.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
+    rest = rest.agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"), F.first(F.expr("least(x.m, y.m)")).alias("m")).where(last)
     new = verified(rest)
     old, labels = labels, merged(labels, new)
-    drop(new, at, *drop_later, *([old] if old is not None else []))
+    drop(new, at, common, chosen, bits, *([old] if old is not None else []))
+    return profile, labels
+
 
+def join(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+    profile, labels = classes(docs, percent)
     # A name's smallest doc_id, then its component's, for the sets that have links.
     least_id = profile.groupBy("name").agg(F.min("doc_id").alias("least"))
     linked = least_id.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -272,3 +353,24 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     drop(labels)
     out = profile.where("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each linked group: that with the smallest doc_id, a null one last, then the smallest text hash.
+
+    Rows that agree in doc_id and text are one row, unless they have no words; those link with
+    nothing and all stay.
+    """
+    profile, labels = classes(docs, percent)
+    rows = profile.where("n_shingles > 0").join(labels, "name", "left").select("doc_id", "h", F.coalesce("component", "name").alias("component"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    best = rows.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1")
+    met = cut(rows.join(best, "component").select("doc_id", "h", (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h"))).alias("stays")))
+    drop(labels)
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"))
+    same = F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.col("doc_id").isNull().alias("no_id"), "h")
+    gone = met.where("not stays").select(same.alias("_key")).distinct()
+    again = met.where("stays").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(same.alias("_key"))
+    keyed = docs.withColumn("_key", key).join(gone, "_key", "left_anti")
+    once = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return keyed.join(again, "_key", "left_anti").unionByName(once).select(*docs.columns)
