@@ -15,31 +15,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Rows predicted toxic go, each by its own text; empty and null texts score like any other text without segments."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group stays: the one with the smallest doc_id."""
-    gone = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each linked group stays: that with the smallest doc_id; texts without words link with nothing and stay."""
+    return jaccard.one_of_each(docs).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text holds a benchmark item go, whatever their doc_id."""
+    return decontaminate.search(docs, table(spark, sf_dir, "benchmark"), COLUMNS).where(F.size("found") == 0).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in place; every document stays."""
+    """Secrets are replaced in place; every row stays, null texts as empty ones."""
     return secrets.redact(docs, keep=["lang", "source"]).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts that stay."""
+    """Token ids of the texts that stay, a row each."""
     ids = bpe.encode(docs, *vocabulary("byte_bpe_multi_50k.tiktoken"))
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
