@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from draftlens.plans import drawings, fixtures, shapes, texts  # noqa: F401  (each adds its queries to those of fixtures)
+from draftlens.plans import drawings, files, fixtures, review, shapes, texts  # noqa: F401  (each adds its queries to those of fixtures)
 
 SF = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
