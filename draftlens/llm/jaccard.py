@@ -38,7 +38,9 @@ BITS, BLOCK, MAX_MATCH, STAR_ROUNDS, MEMO_ENTRIES = 20, 4096, 4, 3, 1_000_000
 #: A token with more rows than this is split over several tasks when pairs are formed.
 SPLIT = 1000
 #: Longs of the short bitmap that goes with every row of a token.
-SHORT = 8
+SHORT = 16
+#: Text hashes of so many sets at most go to every task; more are joined by a shuffle.
+FEW_SETS = 2_000_000
 SHORTS = [f"b{i}" for i in range(SHORT)]
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -264,12 +266,14 @@ def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
 
     def made(names: DataFrame, make, schema: str) -> DataFrame:
         """What `make` works out from one text of each of the names."""
-        wanted = texts.select("text", F.xxhash64("text").alias("h")).join(names.select("h"), "h", "left_semi").select("text")
+        hashes = names.select("h")
+        hashes = F.broadcast(hashes) if names.count() <= FEW_SETS else hashes
+        wanted = texts.select("text", F.xxhash64("text").alias("h")).join(hashes, "h", "left_semi").select("text")
         out = wanted.mapInArrow(make, schema)
         return cut(out.groupBy("name").agg(*[F.first(c).alias(c) for c in out.columns if c != "name"]))
 
     bits = made(chosen, _bitmaps, "name long, bits binary, " + ", ".join(f"{b} long" for b in SHORTS))
-    common = cut(tokens.join(bits.drop("bits").join(chosen.select("name", "degree"), "name"), "name"))
+    common = cut(tokens.join(chosen.select("name", "degree"), "name"))
     drop(tokens)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -301,17 +305,20 @@ def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
         return common.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
 
     def room(x: str, y: str) -> str:
-        """Sizes, places and short bitmaps of two rows of a token leave room for a link."""
+        """Sizes and places of two rows of a token leave room for a link."""
         need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
-        own = lambda p, q: " + ".join(f"bit_count({p}.b{i} & ~{q}.b{i})" for i in range(SHORT))
         return f"""{x}.component <> {y}.component and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
             and {x}.pos <= {x}.n - {need} + least({x}.m, {y}.m) - 1 and {y}.pos <= {y}.n - {need} + least({x}.m, {y}.m) - 1
-            and least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}
-            and {x}.n - ({own(x, y)}) >= {need} and {y}.n - ({own(y, x)}) >= {need}"""
+            and least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}"""
+
+    def bits_leave_room(x: str, y: str) -> str:
+        need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+        own = lambda p, q: " + ".join(f"bit_count({p}.{b} & ~{q}.{b})" for b in SHORTS)
+        return f"{x}.n - ({own(x, y)}) >= {need} and {y}.n - ({own(y, x)}) >= {need}"
 
     # What the pair shares beyond its last common place in either order can't be more than what follows there.
     last = f"""c + least(na - pa, nb - pb) - 1 >= ceil({percent} * (na + nb) / {100 + percent}) and c >= m"""
-    columns = ["name", "n", "m", "pos", "component", *SHORTS]
+    columns = ["name", "n", "m", "pos", "component"]
     labels = None
     for turn in range(STAR_ROUNDS):
         # The set that most others could meet first; later any, so that other centres have their turn.
@@ -329,11 +336,11 @@ def classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
 
     # Every pair of sets in different components that shares enough of the shingles both could meet by.
     at = labelled(labels).withColumn("_lo", F.min("component").over(by)).withColumn("_hi", F.max("component").over(by)).withColumn("_rows", F.count("*").over(by))
-    at = cut(at.where("_lo <> _hi").select("token", "found", "_rows", *columns))
+    at = cut(at.where("_lo <> _hi").select("token", "found", "_rows", *columns).join(bits.drop("bits"), "name"))
     parts = F.ceil(F.col("_rows") / SPLIT)
     x = at.where("found").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("x")
     y = at.withColumn("part", F.pmod(F.xxhash64("name"), parts)).alias("y")
-    rest = x.join(y, F.expr("x.token = y.token and x.part = y.part and (x.n < y.n or x.n = y.n and x.name < y.name) and " + room("x", "y")))
+    rest = x.join(y, F.expr("x.token = y.token and x.part = y.part and (x.n < y.n or x.n = y.n and x.name < y.name) and " + room("x", "y") + " and " + bits_leave_room("x", "y")))
     rest = rest.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.component").alias("src"), F.col("y.component").alias("dst"))
     rest = rest.agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"), F.first(F.expr("least(x.m, y.m)")).alias("m")).where(last)
     new = verified(rest)
