@@ -129,7 +129,7 @@ class _Best:
 
     def rows(self, ids: np.ndarray) -> pa.RecordBatch:
         i, j = np.nonzero(np.isfinite(self.score))
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(self.row[i, j]), pa.array(self.score[i, j])], ["q", "row", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(self.row[i, j]), pa.array(self.least[i, j]), pa.array(self.score[i, j])], ["q", "row", "least", "score"])
 
 
 def _ranker(shared, k: int, dim: int):
@@ -159,7 +159,7 @@ def _ranker(shared, k: int, dim: int):
     return work
 
 
-RANKED = "q long, row long, score double"
+RANKED = "q long, row long, least long, score double"
 
 
 def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, probes: int) -> DataFrame:
@@ -204,6 +204,10 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, pr
     for part in ranked(short, False):
         found = found.unionByName(part)
     drop(at, short)
+    # Each task gave its best; only the best of all go on to the ids.
+    once = found.groupBy("q", "row").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "least")
+    found = once.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k + 1).select("q", "row", "score")
     named = queries.select(F.col("vec_id").alias("query_id"), "h").join(wanted.select("h", F.col("row").alias("q")), "h").drop("h")
     near = few.select("vec_id", "h").join(vectors.select("h", "row"), "h").drop("h")
     best = named.join(found, "q").join(near, "row")
