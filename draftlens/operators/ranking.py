@@ -96,19 +96,31 @@ def claim_survivors(members: DataFrame) -> DataFrame:
     return kept
 
 
-def dedupe_boxes(boxes: DataFrame, order: list[str], conflict, size: float = 32.0) -> DataFrame:
+def best_of_alike(rows: DataFrame, key: list[Column], place: Column, alike: Column) -> DataFrame:
+    """Of the rows of one `key` the one of least `place`, and all rows for which `alike` isn't true."""
+    lone = F.when(~F.coalesce(alike, F.lit(False)), F.monotonically_increasing_id())
+    marked = rows.select(F.struct(*rows.columns).alias("_r"), place.alias("_place"), lone.alias("_lone"), *[k.alias(f"_k{n}") for n, k in enumerate(key)])
+    best = marked.groupBy(*[f"_k{n}" for n in range(len(key))], "_lone").agg(F.min_by("_r", "_place").alias("_r"))
+    return best.select("_r.*")
+
+
+def dedupe_boxes(boxes: DataFrame, order: list[str], conflict, size: float = 32.0, looks_at: list[str] | None = None) -> DataFrame:
     """The rows of `boxes` (page, id, x0, y0, x1, y1, ...) that stay when taken in `order`, ties by id.
 
     `conflict(w, l)` says of two rows' structs, the better one first, whether the second must go;
-    only boxes that meet are compared.
+    only boxes that meet are compared. `looks_at` names the columns besides the box that it looks
+    at; where they are known, only the best of equal boxes is compared: it beats the others if it
+    stays, and whatever beats it beats them. Equal boxes that don't beat each other all count.
     """
     names = list(dict.fromkeys([*order, "id"]))
-    rows = boxes.select("page", "id", F.struct(*boxes.columns).alias("r"))
-    pairs = box_join(boxes, boxes, size).where("left_id <> right_id")
-    met = pairs.join(rows.select("page", F.col("id").alias("left_id"), F.col("r").alias("w")), ["page", "left_id"]).join(rows.select("page", F.col("id").alias("right_id"), F.col("r").alias("l")), ["page", "right_id"])
-    key = lambda r: F.struct(*[F.col(r)[n].alias(n) for n in names])
-    beaten = met.where((key("w") < key("l")) & conflict(F.col("w"), F.col("l")))
-    kept = survivors(boxes.select("id"), beaten.select(F.col("left_id").alias("winner"), F.col("right_id").alias("loser")))
+    whole = lambda side: F.struct(*[F.col(f"{side}.{c}" if side else c).alias(c) for c in boxes.columns])
+    key = lambda side: F.struct(*[F.col(f"{side}.{n}" if side else n).alias(n) for n in names])
+    if looks_at is not None:
+        own = F.expr("page is not null and x0 <= x1 and y0 <= y1") & conflict(whole(""), whole(""))
+        boxes = best_of_alike(boxes, [F.col(c) for c in ("page", "x0", "y0", "x1", "y1", *looks_at)], key(""), own)
+    boxes = cut(boxes)
+    beaten = lambda met: met.where(F.expr("a.id <> b.id") & (key("a") < key("b")) & conflict(whole("a"), whole("b"))).select(F.col("a.id").alias("winner"), F.col("b.id").alias("loser"))
+    kept = survivors(boxes.select("id"), box_join(boxes, boxes, size, beaten))
     return boxes.join(kept.distinct(), "id", "left_semi")
 
 
