@@ -126,7 +126,7 @@ def dedupe_boxes(boxes: DataFrame, order: list[str], conflict, size: float = 32.
 
 def nms(boxes: DataFrame, threshold: float, size: float = 64.0) -> DataFrame:
     """Detector boxes (page, id, score, x0, ...) whose overlap with no better kept one reaches `threshold`."""
-    return dedupe_boxes(boxes.withColumn("_order", -F.col("score")), ["_order"], lambda w, l: segments.shares(w, l)[0] >= threshold, size).drop("_order")
+    return dedupe_boxes(boxes.withColumn("_order", -F.col("score")), ["_order"], lambda w, l: segments.shares(w, l)[0] >= threshold, size, []).drop("_order")
 
 
 def final_positions(items: DataFrame) -> DataFrame:
