@@ -145,7 +145,7 @@ def final_positions(items: DataFrame) -> DataFrame:
     second = F.when(gdt, -area).otherwise(-F.coalesce("text_length", F.lit(0)))
     third = F.when(gdt, -F.coalesce("confidence", F.lit(0.0))).otherwise(area)
     ranked = items.withColumn("_a", syntax).withColumn("_b", second.cast("double")).withColumn("_c", third.cast("double"))
-    return dedupe_boxes(ranked, ["_a", "_b", "_c"], lambda w, l: w["type"].eqNullSafe(l["type"]) & segments.same_place(w, l)).drop("_a", "_b", "_c")
+    return dedupe_boxes(ranked, ["_a", "_b", "_c"], lambda w, l: w["type"].eqNullSafe(l["type"]) & segments.same_place(w, l), looks_at=["type"]).drop("_a", "_b", "_c")
 
 
 def read_texts(rows: DataFrame, iou: float = 0.5) -> DataFrame:

@@ -27,6 +27,7 @@ def test_equal_labels_of_a_brand_have_fixed_places(spark, tmp_path):
 DEDUPS = {
     "nms_final": (lambda d: ranking.dedupe_boxes(d.withColumn("down", -F.col("score")), ["down"], segments.same_place, looks_at=[]), lambda r: (-r[6], r[1]), lambda w, l, iou, inner: iou >= 0.3 or inner >= 0.8),
     "detector_nms": (lambda d: ranking.nms(d, 0.2), lambda r: (-r[6], r[1]), lambda w, l, iou, inner: iou >= 0.2),
+    "position_dedupe": (ranking.final_positions, lambda r: (-r[6], (r[4] - r[2]) * (r[5] - r[3]), r[1]), lambda w, l, iou, inner: w[7] == l[7] and (iou >= 0.3 or inner >= 0.8)),
 }
 
 
