@@ -161,7 +161,7 @@ def table_regions(regions: DataFrame) -> DataFrame:
     """Regions from large to small, without those in a kept one or with more than four fifths in common with it."""
     inside = lambda w, l: (w["x0"] <= l["x0"]) & (w["y0"] <= l["y0"]) & (w["x1"] >= l["x1"]) & (w["y1"] >= l["y1"])
     ranked = regions.withColumn("_a", -(F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return dedupe_boxes(ranked, ["_a"], lambda w, l: inside(w, l) | (segments.shares(w, l)[0] > 0.8), 64.0).drop("_a")
+    return dedupe_boxes(ranked, ["_a"], lambda w, l: inside(w, l) | (segments.shares(w, l)[0] > 0.8), 64.0, []).drop("_a")
 
 
 def best_unless_ambiguous(candidates: DataFrame, key: str, score: str, tie: str, distance: str | None = None, relative: float = 0.15, absolute: float = 5.0) -> DataFrame:
