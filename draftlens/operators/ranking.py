@@ -154,7 +154,7 @@ def read_texts(rows: DataFrame, iou: float = 0.5) -> DataFrame:
     ranked = rows
     for name, column in down.items():
         ranked = ranked.withColumn(name, -F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
-    return dedupe_boxes(ranked, list(down), lambda w, l: segments.shares(w, l)[0] > iou).drop(*down)
+    return dedupe_boxes(ranked, list(down), lambda w, l: segments.shares(w, l)[0] > iou, looks_at=[]).drop(*down)
 
 
 def table_regions(regions: DataFrame) -> DataFrame:

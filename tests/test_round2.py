@@ -29,6 +29,7 @@ DEDUPS = {
     "detector_nms": (lambda d: ranking.nms(d, 0.2), lambda r: (-r[6], r[1]), lambda w, l, iou, inner: iou >= 0.2),
     "position_dedupe": (ranking.final_positions, lambda r: (-r[6], (r[4] - r[2]) * (r[5] - r[3]), r[1]), lambda w, l, iou, inner: w[7] == l[7] and (iou >= 0.3 or inner >= 0.8)),
     "region_dedupe": (ranking.table_regions, lambda r: (-(r[4] - r[2]) * (r[5] - r[3]), r[1]), lambda w, l, iou, inner: w[2] <= l[2] and w[3] <= l[3] and w[4] >= l[4] and w[5] >= l[5] or iou > 0.8),
+    "read_dedupe": (lambda d: ranking.read_texts(d, 0.15), lambda r: (-r[6], r[1]), lambda w, l, iou, inner: iou > 0.15),
 }
 
 
