@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftlens.operators.spatial import box_join
+
 # Widths up to this count as none; threshold without any width.
 ZERO_WIDTH, NO_WIDTH = 0.01, 0.5
 
@@ -118,17 +120,27 @@ def row_order(y: Column, x: Column, height: float = 15.0) -> Column:
     return F.struct(F.floor(y / height).alias("row"), x.alias("x"))
 
 
-def table_regions_outside_views(regions: DataFrame, views: DataFrame, cells: DataFrame, overlap: float = 0.50, least_cells: int = 4) -> DataFrame:
-    """Table regions (page, id, box) but those that a view covers by half or more, unless enough cells are centred in them."""
-    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(f"r.{hi}", f"v.{hi}") - F.greatest(f"r.{lo}", f"v.{lo}"))
-    area = (F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))
-    share = F.when(area > 0, side("x0", "x1") * side("y0", "y1") / area).otherwise(0.0)
-    covered = regions.alias("r").join(views.alias("v"), "page").groupBy(F.col("page"), F.col("r.id").alias("id")).agg(F.max(share).alias("most")).where(F.col("most") >= overlap)
-    cx, cy = (F.col("c.x0") + F.col("c.x1")) / 2, (F.col("c.y0") + F.col("c.y1")) / 2
-    inside = cx.between(F.col("r.x0"), F.col("r.x1")) & cy.between(F.col("r.y0"), F.col("r.y1"))
-    full = regions.alias("r").join(cells.alias("c"), "page").where(inside).groupBy(F.col("page"), F.col("r.id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least_cells)
-    dropped = covered.join(full, ["page", "id"], "left_anti").select("page", "id")
-    return regions.join(dropped, ["page", "id"], "left_anti")
+def table_regions_outside_views(regions: DataFrame, views: DataFrame, cells: DataFrame, overlap: float = 0.50, least_cells: int = 4, size: float = 64.0) -> DataFrame:
+    """Table regions (page, id, box) but those that a view covers by half or more (`overlap`, above 0), unless enough cells are centred in them.
+
+    Only boxes that meet are compared, and equal ones once.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    spots = regions.select("page", *sides).distinct()
+    covers = views.select("page", *sides).distinct()
+    centres = cells.select("page", ((F.col("x0") + F.col("x1")) / 2).alias("x0"), ((F.col("y0") + F.col("y1")) / 2).alias("y0")).groupBy("page", "x0", "y0").agg(F.count("*").alias("n"))
+    centres = centres.select("page", "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"), "n")
+    place = [F.col(f"a.{c}").alias(c) for c in ("page", *sides)]
+
+    def share(met: DataFrame) -> DataFrame:
+        side = lambda lo, hi: F.least(f"a.{hi}", f"b.{hi}") - F.greatest(f"a.{lo}", f"b.{lo}")
+        area = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
+        return met.where(F.when(area > 0, side("x0", "x1") * side("y0", "y1") / area).otherwise(0.0) >= overlap).select(*place)
+
+    covered = box_join(spots, covers, size, share).distinct()
+    full = box_join(spots, centres, size, lambda met: met.select(*place, "b.n")).groupBy("page", *sides).agg(F.sum("n").alias("n")).where(F.col("n") >= least_cells)
+    dropped = covered.join(full, ["page", *sides], "left_anti")
+    return regions.join(dropped, ["page", *sides], "left_anti")
 
 
 def without_fragments(texts: DataFrame, reach: float = 50.0) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftlens.functions import segments
-from draftlens.operators import graph, ranking, review
+from draftlens.operators import drawing, graph, ranking, review
 from draftlens.plans import drawings, fixtures
 from draftlens.plans import review as plans
 
@@ -119,3 +119,22 @@ def test_relations_are_judged_where_lines_meet(spark):
     want = con.execute(fixtures.ORACLES["line_relations"].replace(plans._LINES, "FROM l")).fetchall()
     assert sorted((*map(str, r[:-1]), round(r[-1], 6)) for r in got.collect()) == sorted((*map(str, r[:-1]), round(r[-1], 6)) for r in want)
     assert len(want) > 100
+
+
+def test_regions_meet_only_views_and_cells_near_them(spark, monkeypatch):
+    regions = [(k % 2, k, 100.0 * (k % 5), 10.0, 100.0 * (k % 5) + 60, 50.0) for k in range(400)] + [(0, 900, 5.0, 5.0, 5.0, 9.0), (0, 901, 9.0, 9.0, 1.0, 1.0), (None, 902, 0.0, 10.0, 60.0, 50.0)]
+    views = [(k % 2, 100.0 * (k % 3) - 10 * (k % 4), 0.0, 100.0 * (k % 3) + 40, 60.0 - k % 7) for k in range(400)] + [(1, 300.0, 0.0, 330.0, 80.0), (0, -1.0, 0.0, 9000.0, 31.0), (0, 410.0, 10.0, 440.0, 50.0)]
+    cells = [(0, 100.0 * k + d, 20.0, 100.0 * k + d + 9, 29.0) for k in (0, 2) for d in (0, 20)] + [(1, 5.0, 20.0, 14.0, 29.0)] * 2 + [(1, 105.0, 20.0, 114.0, 29.0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n in ('page', 'id') else 'double'}" for n in names.split()))
+    counts, whole = [], drawing.box_join
+    monkeypatch.setattr(drawing, "box_join", lambda *a: (counts.append(whole(*a).count()), whole(*a))[1])
+    got = drawing.table_regions_outside_views(frame(regions, "page id x0 y0 x1 y1"), frame(views, "page x0 y0 x1 y1"), frame(cells, "page x0 y0 x1 y1"), least_cells=2)
+
+    def kept(page, _, x0, y0, x1, y1):
+        area = (x1 - x0) * (y1 - y0)
+        shares = [max(0, min(x1, v[3]) - max(x0, v[1])) * max(0, min(y1, v[4]) - max(y0, v[2])) / area for v in views if v[0] == page and area > 0]
+        return max(shares, default=0) < 0.5 or sum(c[0] == page and x0 <= (c[1] + c[3]) / 2 <= x1 and y0 <= (c[2] + c[4]) / 2 <= y1 for c in cells) >= 2
+
+    want = [r[1] for r in regions if kept(*r)]
+    assert sorted(r.id for r in got.collect()) == sorted(want) and 3 < len(want) < 300
+    assert max(counts) < 300
